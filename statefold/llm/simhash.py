@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import cut_groups, units
 from .durable import cut
 from .graph import components
 
@@ -92,7 +93,7 @@ class BkTree:
 
 
 def _links(fps: list[int], sides: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Spanning links of one shard part: (fp, fp) pairs that connect what lies within the radius, at most one a row."""
+    """Spanning links of one unit of a shard: (fp, fp) pairs that connect what lies within the radius, at most one a row."""
     root = list(range(len(fps)))
 
     def top(i: int) -> int:
@@ -122,47 +123,27 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 4, tree_size:
     signed = [m - (1 << 64) if (m := sum(c)) >> 63 else m for c in combinations(masks, blocks - radius)]
     shards = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)]))
     rows = distinct.select("fp", shards.alias("s")).select("fp", "s.which", "s.part")
-    large = rows.groupBy("which", "part").agg(F.count("*").alias("n")).where(F.col("n") > tree_size)
-    rows = rows.join(large.withColumn("parts", F.ceil(F.col("n") / tree_size).cast("int")).drop("n"), ["which", "part"], "left")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
-    rows = rows.select("fp", "which", "part", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    by = ["which", "part", "lo", "hi"]
+    by = ["which", "part"]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = [*by, "fp", "side"], None
-
-        def out(a: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-            n = len(a["fp"])
-            change = np.ones(n, bool)
-            if n:
-                change[1:] = np.any([a[k][1:] != a[k][:-1] for k in by], axis=0)
-            at = np.append(np.flatnonzero(change), n)
-            u: list[int] = []
-            v: list[int] = []
-            for i in np.flatnonzero(np.diff(at) > 1):
-                fps = a["fp"][at[i] : at[i + 1]].view(np.uint64).tolist()
-                for x, y in _links(fps, a["side"][at[i] : at[i + 1]].tolist(), radius):
-                    u.append(x)
-                    v.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], names=["u", "v"]) if u else None
-
-        for b in batches:
-            new = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-            a = {k: np.concatenate((held[k], new[k])) for k in names} if held else new
-            n = len(a["fp"])
-            if not n:
-                continue
-            last = np.all([a[k] == a[k][-1] for k in by], axis=0)  # the shard that may go on in the next batch
-            whole = n - int(np.argmin(last[::-1])) if not last.all() else 0
-            if (r := out({k: x[:whole] for k, x in a.items()})) is not None:
-                yield r
-            held = {k: x[whole:] for k, x in a.items()}
-        if held and (r := out(held)) is not None:
-            yield r
-
-    sorted_rows = rows.select(*by, "fp", "side").repartition(*by).sortWithinPartitions(*by)
-    return sorted_rows.mapInArrow(linked, "u bigint, v bigint")
+        u: list[int] = []
+        v: list[int] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], names=["u", "v"])
+
+        for t in units(batches, by):
+            fps = t.column("fp").to_numpy().view(np.uint64).tolist()
+            for x, y in _links(fps, t.column("side").to_pylist(), radius):
+                u.append(x)
+                v.append(y)
+            if len(u) > 50_000:
+                yield out()
+                u, v = [], []
+        if u:
+            yield out()
+
+    return cut_groups(rows, by, F.xxhash64("fp"), tree_size).mapInArrow(linked, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
