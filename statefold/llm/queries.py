@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash
+from . import chat, embedding_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_backend, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(chat.events_of(turns.unionByName(probe)))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_backend.encode(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2)
 
@@ -56,7 +60,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
-_ALL = (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_language_id, op5_sharding, op6_chat_formatting, op8_simhash_near_dedup, op9_quality_rules, op10_embedding_near_dedup)
+_ALL = (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_language_id, op5_sharding, op6_chat_formatting, op7_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_embedding_near_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _JUMP_STEP = """
