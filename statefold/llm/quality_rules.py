@@ -114,5 +114,13 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", k
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
-    return judged(docs, rules, text, docs.columns).where("kept").select(*docs.columns)
+    """The rows of docs that pass, with the columns of docs.
+
+    A filter on ``kept`` alone would be pushed below the staged selects, with every measure copied into it over and over;
+    a row number in its condition keeps it above them.
+    """
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    safe = docs.withColumnsRenamed(dict(zip(docs.columns, own, strict=True)))
+    verdicts = judged(safe, rules, own[docs.columns.index(text)], own)
+    marked = verdicts.select(*own, (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept"))
+    return marked.where("_kept").select(*[F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True)])
