@@ -69,6 +69,17 @@ class WordCachedBpe:
         return b"".join([known[w] if w in known else found[w] for w in words])
 
 
+_READY: dict[str, WordCachedBpe] = {}
+
+
+def word_cached(path: str) -> WordCachedBpe:
+    """The tokenizer of a Python worker, which keeps it and its words from task to task."""
+    if path not in _READY:
+        _READY.clear()
+        _READY[path] = WordCachedBpe(path)
+    return _READY[path]
+
+
 def cut_points(length: int, capacity: int) -> list[int]:
     """Starts of the pieces of a document: whole up to the capacity, else full pieces after a first that may be shorter."""
     return [0] if length <= capacity else [0, *range(length % capacity or capacity, length, capacity)]
@@ -92,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores already have a worker each
-        bpe = WordCachedBpe(tokenizer)
+        bpe = word_cached(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
