@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,6 @@ def pretokens(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Canonical composition. Spark has no built-in for it, so this is an Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
@@ -64,7 +63,7 @@ def cut_at_stops(text: Column, stops: Sequence[str]) -> Column:
 
 def split_list(text: Column, by: str = ",") -> Column:
     """Parts of a list without white space around them and without empty ones."""
-    return F.filter(F.transform(F.split(text, by), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, by), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_command(line: Column) -> tuple[Column, Column, Column]:

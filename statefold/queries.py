@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numeric, text
-from .operators import decay, memory, ranking, recall, scoring, segments, telemetry
+from .operators import decay, memory, ranking, recall, scoring, segments, splits, telemetry
 from .plans import lm
 from .plans.model import decay_biases
 
@@ -438,3 +438,24 @@ def q44_parsers(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("event_id")
     digits = F.lower(F.hex("event_id"))
     return e.select("event_id", numeric.parse_hex(F.concat(F.lit("0x0000000000000000"), digits)).alias("back"), numeric.parse_hex(digits).alias("plain"), numeric.parse_hex(F.concat(digits, F.lit("zz"))).alias("bad"), numeric.parse_number((F.col("event_id") / 8).cast("string")).alias("number"))
+
+
+@_query("""WITH s AS (SELECT lang, ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % 10 AS split FROM documents)
+SELECT lang, split::INTEGER AS split, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM (SELECT lang, split, count(*) AS n FROM s GROUP BY ALL)""")
+def q45_split_balance(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("lang", splits.hash_split(F.col("doc_id"), 10).alias("split"))
+    return splits.split_balance(d, "split", "lang").withColumn("share", _r(F.col("share")))
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next, turn % 2 = 1 AS odd FROM conversations)
+SELECT role, count(*) AS n, 1.0::DOUBLE AS script_ok, round(avg(odd::INT), 6) AS loop_rate, round(avg((text = coalesce(next, text))::INT), 6) AS exact FROM c GROUP BY role""")
+def q46_reply_rates(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _table(spark, sf_dir, "conversations").select("role", "text", F.coalesce(F.lead("text").over(w), F.col("text")).alias("want"), F.lit("eng").alias("lang"), (F.col("turn") % 2 == 1).alias("looped"))
+    return _rounded(splits.reply_rates(c, "role", "text", "lang", "want", "looped"), "script_ok", "loop_rate", "exact")
+
+
+@_query("SELECT vec_id % 16 AS i, label::VARCHAR AS name, round(avg(embedding[1]::DOUBLE), 6) AS value FROM embeddings GROUP BY ALL")
+def q47_average_weights(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("checkpoint"), F.col("label").cast("string").alias("name"), (F.col("vec_id") % 16).alias("i"), F.col("embedding")[0].cast("double").alias("value"))
+    return splits.average_weights(e).withColumn("value", _r(F.col("value")))

@@ -21,7 +21,7 @@ def read_log(spark: SparkSession, paths: str | Sequence[str], device: str = "dev
     gives no rows. Lines are split as text: dropping malformed CSV rows would depend on which columns a query reads.
     """
     lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select(F.input_file_name().alias(device), F.trim("value").alias("_line"))
-    fields = lines.withColumn("_f", F.transform(F.split("_line", ","), F.trim))
+    fields = lines.withColumn("_f", F.transform(F.split("_line", ","), lambda x: F.trim(x)))
     header = F.transform("_f", lambda h: F.trim(F.substring_index(h, " [", 1)))
     heads = fields.where(F.array_contains(header, TIME)).groupBy(device).agg(F.first(header).alias("_h"))  # one row a file
     rows = fields.join(heads, device).where((F.size("_f") == F.size("_h")) & ~F.array_contains(header, TIME))
