@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from .durable import cut
 
 
-def _minima(arcs: DataFrame) -> DataFrame:
-    """For each u the smallest of itself and its neighbours; partial sums come first, so a hub costs a row a task."""
-    return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+def _joined(arcs: DataFrame) -> DataFrame:
+    """arcs(u, v) with m, for each u the smallest of itself and its neighbours.
+
+    Minima are partial before they are shuffled, so a hub costs a row a task. They join on a struct of u, which the
+    aggregation is not partitioned by: both sides then are shuffled for the join alone, and a hub's arcs can be split.
+    """
+    minima = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).select(F.struct(F.col("u").alias("of")).alias("hub"), "m")
+    return arcs.withColumn("hub", F.struct(F.col("u").alias("of"))).join(minima, "hub")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     arcs = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = arcs.join(_minima(arcs), "u").where(F.col("v") > F.col("u"))
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _joined(arcs).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    minima = _minima(down)
-    linked = down.join(minima, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionAll(minima.select("u", F.col("m").alias("v")))
+    linked = _joined(down).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return linked.select("e.u", "e.v")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
