@@ -17,6 +17,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df reliably, so that a lost executor costs a re-read and not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df reliably, so that a lost executor costs a re-read and not a recomputation.
+
+    Every partition becomes a file of the shared folder. Neighbouring ones are joined, without a shuffle, down to four for
+    each core of the cluster, so that a scan of many small splits does not leave as many small files.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, 1)).checkpoint(eager=True)
