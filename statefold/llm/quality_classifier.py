@@ -212,10 +212,14 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with kept, and their columns. Texts are measured twice and, unless sites are many, not shuffled."""
     model = fit_on(docs, labels, key, text)
-    judged = _with_probability(with_evidence(docs, model, text), model, F.col(host), F.col(path))
-    narrow = _with_probability(with_evidence(docs.select(host, path, text), model, text), model, F.col(host), F.col(path))
+    own = [f"_c{i}" for i in range(len(docs.columns))]  # names that nothing below uses
+    name = dict(zip(docs.columns, own, strict=True))
+    safe = docs.withColumnsRenamed(name)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return _with_probability(with_evidence(rows, model, name[text]), model, F.col(name[host]), F.col(name[path]))
+
+    narrow = judged(safe.select(*dict.fromkeys((name[host], name[path], name[text]))))
     sites, rates = site_rates(narrow.select("_host", "_path", "_p"))
-    renamed = [f"_c{i}" for i in range(len(docs.columns))]
-    safe = judged.withColumnsRenamed(dict(zip(docs.columns, renamed, strict=True)))
-    kept = with_scores(safe, sites, rates, renamed, threshold).where("kept")
-    return kept.select(*[F.col(r).alias(c) for r, c in zip(renamed, docs.columns, strict=True)])
+    kept = with_scores(judged(safe), sites, rates, own, threshold).where("kept")
+    return kept.select(*[F.col(c).alias(old) for old, c in name.items()])

@@ -88,7 +88,11 @@ def measured(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
     starts = F.expr("array_sort(transform(filter(_t, (x, i) -> x.t <=> get(_t, i - 1).t or x.t <=> get(_t, i + 1).t), x -> x.i))")
     five = four.withColumn("_s", starts).drop("_t")
     covered = F.expr("aggregate(transform(_s, (x, i) -> cast(least(3, coalesce(get(_s, i + 1) - x, 3)) as bigint)), 0L, (a, x) -> a + x)")
-    out = five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_s")
+    done = five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_s")
+    # A filter on a measure would be pushed below the staged selects, with every array copied into it over and over. A row
+    # number in the way stops it here, as Spark moves no filter past an expression that is not deterministic.
+    names = [c for c in done.columns if c not in kept]
+    out = done.select(*kept, F.when(F.monotonically_increasing_id() >= 0, F.struct(*names)).alias("_m")).select(*kept, "_m.*")
     return out.withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})
 
 
@@ -114,13 +118,8 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", k
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that pass, with the columns of docs.
-
-    A filter on ``kept`` alone would be pushed below the staged selects, with every measure copied into it over and over;
-    a row number in its condition keeps it above them.
-    """
+    """The rows of docs that pass, with the columns of docs."""
     own = [f"_c{i}" for i in range(len(docs.columns))]
     safe = docs.withColumnsRenamed(dict(zip(docs.columns, own, strict=True)))
-    verdicts = judged(safe, rules, own[docs.columns.index(text)], own)
-    marked = verdicts.select(*own, (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept"))
-    return marked.where("_kept").select(*[F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True)])
+    kept = judged(safe, rules, own[docs.columns.index(text)], own).where("kept")
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True)])

@@ -165,14 +165,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The columns of docs for one row of each component: that with the smallest key; of rows that repeat a key, one.
 
-    Rows are matched by key and a hash of the text, so a key that stands for different texts keeps its other texts.
+    A row without a key stays only if no row of its component has one. Rows are matched by key and a hash of the text, so a key that stands for different texts keeps its other texts.
     """
-    known = F.xxhash64(F.coalesce(text, F.lit("")))
-    found = near_duplicates(docs.select(F.struct(F.col(key).alias("k"), known.alias("h")).alias("id"), F.col(text).alias("t")), "id", "t", **how)
+    own = [f"_c{i}" for i in range(len(docs.columns))]  # names that nothing below uses
+    name = dict(zip(docs.columns, own, strict=True))
+    safe, k = docs.withColumnsRenamed(name), name[key]
+    known = F.xxhash64(F.coalesce(name[text], F.lit("")))
+    found = near_duplicates(safe.select(F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k"), known.alias("h")).alias("id"), F.col(name[text]).alias("t")), "id", "t", **how)
     kept = cut(found.where("id = component_id").groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (known == F.col("_h"))
-    rows = docs.join(kept, same, "left_semi")
-    repeated = kept.where("_n > 1")
-    if repeated.isEmpty():
-        return rows
-    return rows.withColumn("_h", known).dropDuplicates([key, "_h"]).select(*docs.columns)
+    rows = safe.join(kept, F.col(k).eqNullSafe(F.col("_k")) & (known == F.col("_h")), "left_semi")
+    if not kept.where("_n > 1").isEmpty():
+        rows = rows.withColumn("_h", known).dropDuplicates([k, "_h"])
+    return rows.select(*[F.col(c).alias(old) for old, c in name.items()])
