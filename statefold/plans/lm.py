@@ -40,9 +40,9 @@ def _mapped(df: DataFrame, weights: dict[str, np.ndarray], columns: list[str], k
     return df.select(key, *columns).mapInArrow(apply, f"`{key}` {kind}, {schema}")
 
 
-def loglikelihood(requests: DataFrame, weights: dict[str, np.ndarray], key: str = "req_id", context: str = "ctx", continuation: str = "cont", **options) -> DataFrame:
+def loglikelihood(requests: DataFrame, weights: dict[str, np.ndarray], key: str = "req_id", ctx: str = "ctx", cont: str = "cont", **options) -> DataFrame:
     """(key, logprob, greedy) of every request."""
-    return _mapped(requests, weights, [context, continuation], key, "logprob double, greedy boolean", [pa.float64(), pa.bool_()], ["logprob", "greedy"], lambda m, c, t: score_pair(m, c or [], t or []), options)
+    return _mapped(requests, weights, [ctx, cont], key, "logprob double, greedy boolean", [pa.float64(), pa.bool_()], ["logprob", "greedy"], lambda m, c, t: score_pair(m, c or [], t or []), options)
 
 
 def loglikelihood_rolling(texts: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str, size: int | None = None, **options) -> DataFrame:
