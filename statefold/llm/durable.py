@@ -16,12 +16,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, joined: bool = False) -> DataFrame:
     """Materialise df reliably, so that a lost executor costs a re-read and not a recomputation.
 
-    Every partition becomes a file of the shared folder. Neighbouring ones are joined, without a shuffle, down to four for
-    each core of the cluster, so that a scan of many small splits does not leave as many small files.
+    Every partition becomes a file of the shared folder. ``joined`` is for narrow results of a shuffle: neighbouring
+    partitions become one, without another shuffle, down to four for each core of the cluster. What reads texts keeps the
+    partitions of its scan, so that a task that is run again has not more to do than one split.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, 1)).checkpoint(eager=True)
+    return (df.coalesce(max(4 * spark.sparkContext.defaultParallelism, 1)) if joined else df).checkpoint(eager=True)
+
+
+def fewer_files(result: DataFrame, scan: DataFrame) -> DataFrame:
+    """result in fewer, larger parts: up to eight neighbouring partitions of the scan that it comes from as one, but six for
+    each core of the cluster at least. For what is written as it is; a scan of large splits stays as it was planned."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return result.coalesce(max(6 * cores, -(-scan.rdd.getNumPartitions() // 8)))

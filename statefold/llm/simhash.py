@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     component_id unless its component has only null keys. Repeated rows share their component. Other columns are not read.
     """
     fps = cut(fingerprints(docs, key, text, width, seed))
-    vertices = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    vertices = cut(fps.groupBy("fp").agg(F.min(key).alias("least")), joined=True)
     # Signed order of fingerprints is as good as any for roots; the smallest key is found afterwards.
     roots = components(near_links(vertices.select("fp"), radius))
     of = vertices.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -172,7 +172,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     safe, k = docs.withColumnsRenamed(name), name[key]
     known = F.xxhash64(F.coalesce(name[text], F.lit("")))
     found = near_duplicates(safe.select(F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k"), known.alias("h")).alias("id"), F.col(name[text]).alias("t")), "id", "t", **how)
-    kept = cut(found.where("id = component_id").groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")))
+    kept = cut(found.where("id = component_id").groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")), joined=True)
     rows = safe.join(kept, F.col(k).eqNullSafe(F.col("_k")) & (known == F.col("_h")), "left_semi")
     if not kept.where("_n > 1").isEmpty():
         rows = rows.withColumn("_h", known).dropDuplicates([k, "_h"])
