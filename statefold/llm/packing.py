@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,7 @@ _PLAIN = re.compile(f"[\\n -~{_LETTERS}]*")
 # Fixed value: the word pattern of byte-level pre-tokenisation, with letters and digits written out for those characters.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _CACHED_WORDS = 400_000
+_BATCH_CHARS = 2_000_000
 
 
 class WordCachedBpe:
@@ -50,23 +52,48 @@ class WordCachedBpe:
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"][:2] for t in spec.get("added_tokens", ())]
         self.words: dict[str, bytes] = {}
+        # The model alone, for words that need no parting: their bytes as the characters that a byte-level vocabulary has for
+        # them, printable bytes as themselves and the others, in order, from code point 256 on.
+        self.bare = Tokenizer(self.library.model)
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [x for x in range(256) if x not in shown]
+        self.characters = {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words without a line feed, each a whole word of the pattern."""
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.characters).split(self.characters[10])
+        return [array("I", e.ids).tobytes() for e in self.bare.encode_batch_fast(mapped, add_special_tokens=False)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def ids(self, text: str) -> bytes:
-        if not self.by_word or any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
-            return self._whole([text])[0]
-        words, known = _WORDS.findall(text), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list(set(words).difference(known))
-        found = dict(zip(new, self._whole(new), strict=True))
-        if len(known) + len(found) <= _CACHED_WORDS:  # a full cache keeps its words: common ones come early
-            known.update(found)
-            found = known
-        return b"".join([known[w] if w in known else found[w] for w in words])
+    def ids(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """The texts' ids, in order; texts of up to _BATCH_CHARS characters together are split into words at once."""
+        batch: list[str] = []
+        size = 0
+        for t in texts:
+            batch.append(t)
+            size += len(t)
+            if size >= _BATCH_CHARS:
+                yield from self._batch(batch)
+                batch, size = [], 0
+        yield from self._batch(batch)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        plain = [self.by_word and not any(s in t for s in self.special) and _PLAIN.fullmatch(t) is not None for t in texts]
+        split = [_WORDS.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        known = self.words
+        new = list(set(chain.from_iterable(w for w in split if w)).difference(known))
+        other = [w for w in new if not w.isspace()]
+        if other:
+            known.update(zip(other, self._apart(other), strict=True))
+        blank = [w for w in new if w.isspace()]
+        known.update(zip(blank, self._whole(blank), strict=True))
+        out = [b"".join(map(known.__getitem__, w)) if w is not None else self._whole([t])[0] for t, w in zip(texts, split, strict=True)]
+        if len(known) > _CACHED_WORDS:  # a full cache keeps its words, as common ones come early, and forgets the batch's
+            for w in new:
+                del known[w]
+        return out
 
 
 _READY: dict[str, WordCachedBpe] = {}
@@ -108,8 +135,8 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY,
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 rows: list[tuple] = []
-                for i, t in enumerate(part.column(1)):
-                    raw = memoryview(bpe.ids(t.as_py() or "") + end)
+                for i, ids in enumerate(bpe.ids([t or "" for t in part.column(1).to_pylist()])):
+                    raw = memoryview(ids + end)
                     n = len(raw) // 4
                     starts = cut_points(n, capacity)
                     for p, (a, z) in enumerate(zip(starts, [*starts[1:], n], strict=True)):

@@ -83,10 +83,11 @@ def test_word_cache_gives_the_library_ids(monkeypatch):
     texts = [r[1] or "" for r in rows()] + ["<|endoftext|> as text", "it's we'll  x\n\n y\t", "Ünïcödé ƒoo ß 12ab", "a b", "\x1c\x1d x"]
     for size in (400_000, 5):
         monkeypatch.setattr(P, "_CACHED_WORDS", size)
+        monkeypatch.setattr(P, "_BATCH_CHARS", size)
         bpe = P.WordCachedBpe(P.BYTE_BPE)
         for _ in range(2):
-            for t in texts:
-                assert np.frombuffer(bpe.ids(t), "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+            for t, ids in zip(texts, bpe.ids(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
 
 
 def test_other_columns_and_empty(spark):
