@@ -29,7 +29,9 @@ def cut(df: DataFrame, joined: bool = False) -> DataFrame:
 
 
 def fewer_files(result: DataFrame, scan: DataFrame) -> DataFrame:
-    """result in fewer, larger parts: up to eight neighbouring partitions of the scan that it comes from as one, but six for
-    each core of the cluster at least. For what is written as it is; a scan of large splits stays as it was planned."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return result.coalesce(max(6 * cores, -(-scan.rdd.getNumPartitions() // 8)))
+    """result in fewer, larger parts: neighbouring partitions become one down to the number of eight splits' worth of the
+    scan that it comes from, but six for each core of the cluster at least. For what is written as it is."""
+    spark = scan.sparkSession
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, by the planner
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return result.coalesce(max(6 * spark.sparkContext.defaultParallelism, -(-size // (8 * split))))

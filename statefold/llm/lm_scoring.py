@@ -169,12 +169,11 @@ class BackoffAutomaton:
     """The part of the automaton that a chunk's texts can walk on.
 
     ``arc[n][g]`` is log10 of an (n+1)-gram's probability if it was seen, else NaN; ``fail[n][g]`` is the cost of the
-    failure arc of the state whose history is the n-gram g; the empty state needs none. ``any_word`` is what an unseen word costs.
+    failure arc of the state whose history is the n-gram g; the empty state needs none, as it has an arc for any word.
     """
 
     def __init__(self, chunk: Chunk, counts: list[np.ndarray], total: int, types: int, texts: int, mu: float) -> None:
         self.order = len(counts)
-        self.any_word = -float(np.log10(total + types + 1))
         unigram = np.log10((counts[0] + 1) / (total + types + 1))
         self.arc = [unigram]
         self.fail = [np.log10(mu / (c + mu)) for c in counts]
