@@ -37,7 +37,8 @@ def _mapped(df: DataFrame, weights: dict[str, np.ndarray], columns: list[str], k
             yield pa.RecordBatch.from_arrays([b.column(key), *out], names=[key, *names])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *columns).mapInArrow(apply, f"`{key}` {kind}, {schema}")
+    # A row costs far more to compute than to move: spread rows over tasks, whatever the scan gave.
+    return df.select(key, *columns).repartition(key).mapInArrow(apply, f"`{key}` {kind}, {schema}")
 
 
 def loglikelihood(requests: DataFrame, weights: dict[str, np.ndarray], key: str = "req_id", ctx: str = "ctx", cont: str = "cont", **options) -> DataFrame:
