@@ -9,7 +9,7 @@ cut into parts: the tree of each part meets the rows of every other in a task of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return fps.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The columns of docs for one row of each component: that with the smallest key; of rows that repeat a key, one.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
+    """The columns of docs for one row of each component of ``near``: that with the smallest key; of rows that repeat a key, one.
 
     A row without a key stays only if no row of its component has one. Rows are matched by key and a hash of the text, so a key that stands for different texts keeps its other texts.
     """
@@ -171,7 +171,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     name = dict(zip(docs.columns, own, strict=True))
     safe, k = docs.withColumnsRenamed(name), name[key]
     known = F.xxhash64(F.coalesce(name[text], F.lit("")))
-    found = near_duplicates(safe.select(F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k"), known.alias("h")).alias("id"), F.col(name[text]).alias("t")), "id", "t", **how)
+    found = near(safe.select(F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k"), known.alias("h")).alias("id"), F.col(name[text]).alias("t")), "id", "t", **how)
     kept = cut(found.where("id = component_id").groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")), joined=True)
     rows = safe.join(kept, F.col(k).eqNullSafe(F.col("_k")) & (known == F.col("_h")), "left_semi")
     if not kept.where("_n > 1").isEmpty():
