@@ -209,9 +209,12 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     return with_scores(judged, sites, rates, ["_key"], threshold).withColumnRenamed("_key", key)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with kept, and their columns. Texts are measured twice and, unless sites are many, not shuffled."""
-    model = fit_on(docs, labels, key, text)
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of docs with kept, and their columns. Texts are measured twice and, unless sites are many, not shuffled.
+
+    The classifier is fitted on ``labelled``, documents that the labels are of; without it, on docs.
+    """
+    model = fit_on(docs if labelled is None else labelled, labels, key, text)
     own = [f"_c{i}" for i in range(len(docs.columns))]  # names that nothing below uses
     name = dict(zip(docs.columns, own, strict=True))
     safe = docs.withColumnsRenamed(name)
