@@ -10,11 +10,15 @@ so every history is a distribution. As an automaton: a history with a count is a
 log P(w | h); a state's failure arc leads to h' and costs log(mu / (c(h) + mu)); the empty state has an arc for any word.
 One pass from left to right carries the state and adds up what its arcs cost.
 
-Data flow, with no table of the vocabulary in one place. Texts are dealt into chunks of bounded size. A chunk's task
-sends each range of n-gram hashes the distinct ones that it has, with their training counts; a range's task adds the
-counts of all chunks up and sends each chunk the totals of just the n-grams that it asked for; the chunk's task builds
-the part of the automaton that its texts walk on and scores them. N-grams travel as sorted, delta-coded 64-bit hashes in
-binary blocks: a pair of equal hashes of different n-grams is expected once in about 5 billion distinct ones.
+Data flow, with no table of the vocabulary in one place. Each scan task puts its texts, in the order it reads them, into
+chunks of bounded size. A chunk sends each range of n-gram hashes the distinct ones that it has, with their training
+counts, and itself, compressed, to the task that will score it. A range adds the counts of all chunks up and sends each
+chunk the totals of just the n-grams that it asked for; the chunk builds the part of the automaton that its texts walk on
+and scores them. Where chunks are more than ``fan`` ranges can serve, groups of chunks ask for a range together: their
+blocks are merged by a node, which asks narrower ranges as a chunk would. So a chunk or node sends ``fan`` rows at most, and rows
+grow as n log n with base ``fan``; with the default there is one step up to some 64 GB of text and two up to 500 TB.
+N-grams travel as sorted, delta-coded 64-bit hashes in binary blocks: a pair of equal hashes of different n-grams is
+expected once in about 5 billion distinct ones.
 """
 
 from __future__ import annotations
@@ -24,7 +28,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,39 +137,84 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw), dtype=np.uint64)
 
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where the keys of each of 2**bits ranges begin and end."""
+def _split(keys: np.ndarray, first: int, bits: int) -> list[int]:
+    """Where the keys of each of 2**bits ranges begin, by the ``bits`` bits after the ``first`` ones, which all keys share; and the end."""
     if not bits:
-        return np.array([0, len(keys)])
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
-
-
-def _asked(table: pa.Table, order: int, bits: int, modulus: int, remainder: int) -> Iterator[tuple]:
-    chunk = Chunk(table.column("_text").to_pylist(), order)
-    held = np.array([is_held_out(i, modulus, remainder) for i in table.column("_id").to_pylist()], bool)
-    counts = chunk.training_counts(held)
-    number = table.column("_chunk")[0].as_py()
-    for n, (keys, count) in enumerate(zip(chunk.keys, counts, strict=True)):
-        cuts = _cuts(keys, bits)
-        for r in range(1 << bits):
-            s = slice(cuts[r], cuts[r + 1])
-            yield number, n, r, _pack_sorted(keys[s]), _pack(count[s])
-
-
-def _totals(table: pa.Table) -> Iterator[tuple]:
-    """One order and range: the training counts of all chunks added up, and told to each that asked."""
-    n, r = table.column("n")[0].as_py(), table.column("r")[0].as_py()
-    chunks = table.column("chunk").to_pylist()
-    asked = [_unpack_sorted(x.as_py()) for x in table.column("keys")]
-    counts = [_unpack(x.as_py()).view(np.int64) for x in table.column("counts")]
-    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)  # exact below 2**53
-    tokens_, types = (int(total.sum()), int((total > 0).sum())) if n == 0 else (0, 0)
-    begin = 0
-    for c, k in zip(chunks, asked, strict=True):
-        yield c, n, r, _pack(total[at[begin : begin + len(k)]]), tokens_, types
-        begin += len(k)
+        return [0, len(keys)]
+    high = np.uint64(int(keys[0]) >> (64 - first) << (64 - first)) if first and len(keys) else np.uint64(0)
+    edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - first - bits)) | high
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+
+
+def _packed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [pack(_pack_sorted(k)) for k in keys], [pack(_pack(c)) for c in counts]
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return _unpack_sorted(zstandard.ZstdDecompressor().decompress(raw))
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return _unpack(zstandard.ZstdDecompressor().decompress(raw)).view(np.int64)
+
+
+def _blocks(asker: int, keys: list[np.ndarray], counts: list[np.ndarray], first: int, bits: int) -> Iterator[tuple]:
+    """(range, asker, None, keys and counts of each order) for each range after a prefix that the asker has keys in."""
+    cuts = [_split(k, first, bits) for k in keys]
+    for r in range(1 << bits):
+        parts = [slice(c[r], c[r + 1]) for c in cuts]
+        if any(s.stop > s.start for s in parts):
+            yield r, asker, None, *_packed([k[s] for k, s in zip(keys, parts, strict=True)], [c[s] for c, s in zip(counts, parts, strict=True)])
+
+
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
+    """Of a group of askers' blocks: distinct keys and summed counts of each order, and where each asker's keys stand in them."""
+    asked, told = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+    keys, counts, places = [], [], []
+    for n in range(len(asked[0])):
+        each = [_unpack_keys(x[n]) for x in asked]
+        distinct, at = np.unique(np.concatenate(each), return_inverse=True)
+        keys.append(distinct)
+        # Sums are exact below 2**53.
+        counts.append(np.bincount(at, weights=np.concatenate([_unpack_counts(x[n]) for x in told]), minlength=len(distinct)).astype(np.int64))
+        places.append(np.split(at, np.cumsum([len(e) for e in each])[:-1]))
+    return keys, counts, places
+
+
+def _told(table: pa.Table, totals: list[np.ndarray], places: list[list[np.ndarray]], r: int) -> Iterator[tuple]:
+    """(asker, range, totals of each order) for each asker of a group."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for i, asker in enumerate(table.column("asker").to_pylist()):
+        yield asker, r, [pack(_pack(t[at[i]])) for t, at in zip(totals, places, strict=True)]
+
+
+def _blob(part: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_table(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Table]:
+    """The rows in order, in tables of about chunk_bytes of text; a longer text is a table of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        begin = 0
+        while begin < b.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            stop = max(int(np.searchsorted(ends, before + chunk_bytes - size, "right")), begin if held else begin + 1)
+            if stop > begin:
+                held.append(b.slice(begin, stop - begin))
+                size += int(ends[stop - 1]) - before
+            if stop < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            begin = stop
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class BackoffAutomaton:
@@ -205,14 +257,8 @@ class BackoffAutomaton:
         return total
 
 
-def _scored(docs: pa.Table, answers: pa.Table, order: int, bits: int, modulus: int, remainder: int, mu: float, texts: int) -> Iterator[tuple]:
+def _scored(docs: pa.Table, counts: list[np.ndarray], total: int, types: int, order: int, modulus: int, remainder: int, mu: float, texts: int) -> Iterator[tuple]:
     chunk = Chunk(docs.column("_text").to_pylist(), order)
-    parts: dict[tuple[int, int], np.ndarray] = {}
-    total = types = 0
-    for n, r, raw, tok, typ in zip(*[answers.column(c).to_pylist() for c in ("n", "r", "totals", "tokens", "types")], strict=True):
-        parts[n, r] = _unpack(raw).view(np.int64)
-        total, types = total + tok, types + typ
-    counts = [np.concatenate([parts.pop((n, r)) for r in range(1 << bits)]) for n in range(order)]
     model = BackoffAutomaton(chunk, counts, total, types, texts, mu)
     for i, doc_id in enumerate(docs.column("_id").to_pylist()):
         s = slice(chunk.begins[i], chunk.begins[i + 1])
@@ -229,40 +275,123 @@ def _rows(rows: Iterator[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_ASKED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("r", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWERS = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("r", pa.int32()), ("totals", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+_BYTES = pa.list_(pa.binary())
+# A row of the exchange is a chunk on its way to where it is scored (key >= 0, its number; docs), or what an asker asks a
+# range for (key < 0).
+_SENT = pa.schema([("key", pa.int64()), ("asker", pa.int64()), ("docs", pa.binary()), ("keys", _BYTES), ("counts", _BYTES)])
+_SENT_SQL = "key bigint, asker bigint, docs binary, keys array<binary>, counts array<binary>"
+_ANSWERS = pa.schema([("asker", pa.int64()), ("r", pa.int64()), ("totals", _BYTES)])
+_ANSWERS_SQL = "asker bigint, r bigint, totals array<binary>"
+_SIZES = pa.schema([("tokens", pa.int64()), ("types", pa.int64())])
 
 
-def score(docs: DataFrame, order: int = 2, mu: float = 8.0, modulus: int = 7, remainder: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+def steps_of(chunks: int, fan: int) -> list[int]:
+    """Bits by which hashes are divided in each step: half as many ranges as chunks in the end, 2**bits <= fan in each step."""
+    bits, most = max(0, (max(chunks, 1) - 1).bit_length() - 1), max(fan, 2).bit_length() - 1
+    n = max(1, -(-bits // most))
+    return [bits // n + (i < bits % n) for i in range(n)]
+
+
+def _key(r: int, group: int, groups: int) -> int:
+    return -1 - (r * groups + group)
+
+
+def exchanged(sent: DataFrame, steps: list[int], first: int = 0, nodes: int = 1) -> tuple[DataFrame, list[DataFrame]]:
+    """(answers(asker, r, totals), every exchange's input) for what is ``sent``: rows of _SENT whose negative keys stand for
+    the ranges of the first of ``steps``, times ``nodes`` groups of askers unless it is the last."""
+    if len(steps) == 1:
+
+        def add_up(t: pa.Table) -> pa.Table:
+            if t.column("key")[0].as_py() >= 0:
+                return _ANSWERS.empty_table()
+            _, counts, places = _merged(t)
+            return _rows(_told(t, counts, places, -1 - t.column("key")[0].as_py()), _ANSWERS)
+
+        return sent.groupBy("key").applyInArrow(add_up, _ANSWERS_SQL), [sent]
+
+    done = first + steps[0]
+    groups = 1 if len(steps) == 2 else -(-nodes >> steps[1])
+
+    def merge(t: pa.Table) -> pa.Table:
+        key = t.column("key")[0].as_py()
+        if key >= 0:
+            return _SENT.empty_table()
+        keys, counts, _ = _merged(t)
+        r, group = divmod(-1 - key, nodes)
+        rows = ((_key((r << steps[1]) + low, group % groups, groups), *rest) for low, *rest in _blocks(-1 - key, keys, counts, done, steps[1]))
+        return _rows(rows, _SENT)
+
+    answers, inputs = exchanged(sent.groupBy("key").applyInArrow(merge, _SENT_SQL), steps[1:], done, groups)
+
+    def pass_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return _ANSWERS.empty_table()
+        _, _, places = _merged(left)
+        key = left.column("key")[0].as_py()
+        return _rows(_told(left, _joined(right), places, (-1 - key) // nodes), _ANSWERS)
+
+    back = answers.withColumn("asker", -1 - F.col("asker")).groupBy("asker")
+    return sent.groupBy("key").cogroup(back).applyInArrow(pass_on, _ANSWERS_SQL), [sent, *inputs]
+
+
+def _joined(answers: pa.Table) -> list[np.ndarray]:
+    """The totals of all ranges that an asker asked, in the order of its keys."""
+    parts = [x for _, x in sorted(zip(answers.column("r").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda x: x[0])]
+    return [np.concatenate([_unpack_counts(p[n]) for p in parts]) for n in range(len(parts[0]))]
+
+
+def score(docs: DataFrame, order: int = 3, mu: float = 8.0, modulus: int = 7, remainder: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20, fan: int = 4096) -> DataFrame:
     """One row for each row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 throughout).
 
     Texts whose crc32(key as text) mod ``modulus`` is ``remainder`` are held out of training and scored like all. Null
     texts are empty: one end token. A null key trains. Repeated rows count each time. Without any training text every
-    word costs log10(1 / (0 + 0 + 1)) = 0. Keys are integers; other columns are not read.
+    word costs log10(1 / (0 + 0 + 1)) = 0; an empty table gives an empty result. Keys are integers; other columns are not
+    read. Sums of equal arcs are equal, so there are no ties to break.
 
-    A chunk holds about ``chunk_bytes`` of text, and a range as many n-grams as that many bytes of text have; both counts
-    follow the input. Rows go to chunks by a hash of key and text, so copies and hot keys spread.
+    A chunk holds about ``chunk_bytes`` of text, by place in the scan and not by content, so copies and hot keys are spread
+    as they lie. A longer text is a chunk of its own, whole: a task needs some forty times its longest text in memory.
     """
+    return _plan(docs, order, mu, modulus, remainder, key, text, chunk_bytes, fan)[0]
+
+
+def _plan(docs: DataFrame, order: int, mu: float, modulus: int, remainder: int, key: str, text: str, chunk_bytes: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
     rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
     size, texts = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 1), F.lit(0)), F.coalesce(F.sum((~held).cast("long")), F.lit(0))).first()
     chunks = max(1, -(-int(size) // chunk_bytes))
-    bits = (chunks - 1).bit_length()
-    names = ["_chunk", "_id", "_text"]
-    dealt = rows.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks))).select(*names)
-
-    def ask(t: pa.Table) -> pa.Table:
-        return _rows(_asked(t, order, bits, modulus, remainder), _ASKED)
-
-    def add_up(t: pa.Table) -> pa.Table:
-        return _rows(_totals(t), _ANSWERS)
+    steps = steps_of(chunks, fan)
+    groups = 1 if len(steps) == 1 else -(-chunks // (1 << steps[0]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for i, part in enumerate(_chunked(batches, chunk_bytes)):
+            number = task << 32 | i
+            chunk = Chunk(part.column("_text").to_pylist(), order)
+            out = np.array([is_held_out(k, modulus, remainder) for k in part.column("_id").to_pylist()], bool)
+            asked = _blocks(number, chunk.keys, chunk.training_counts(out), 0, steps[0])
+            group = zlib.crc32(number.to_bytes(8, "little")) % groups
+            sent = [(number, number, _blob(part), None, None), *((_key(r, group, groups), *rest) for r, *rest in asked)]
+            yield from _rows(iter(sent), _SENT).to_batches()
+
+    def count(t: pa.Table) -> pa.Table:
+        """Training tokens and types of a range."""
+        if t.column("key")[0].as_py() >= 0:
+            return _SIZES.empty_table()
+        _, counts, _ = _merged(t)
+        return _rows(iter([(int(counts[0].sum()), int((counts[0] > 0).sum()))]), _SIZES)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _rows(_scored(left, right, order, bits, modulus, remainder, mu, texts) if left.num_rows else iter(()), out)
-
-    asked = dealt.groupBy("_chunk").applyInArrow(ask, "chunk bigint, n int, r int, keys binary, counts binary")
-    answers = asked.groupBy("n", "r").applyInArrow(add_up, "chunk bigint, n int, r int, totals binary, tokens bigint, types bigint")
-    scored = dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return scored.withColumnRenamed("doc_id", key)
+        if not right.num_rows:
+            return out.empty_table()
+        part = pa.ipc.open_stream(left.column("docs")[0].as_py()).read_all()
+        total, types = right.column("tokens")[0].as_py(), right.column("types")[0].as_py()
+        return _rows(_scored(part, _joined(right), total, types, order, modulus, remainder, mu, texts), out)
+
+    sent = rows.mapInArrow(send, _SENT_SQL)
+    answers, inputs = exchanged(sent, steps, 0, groups)
+    sizes = inputs[-1].groupBy("key").applyInArrow(count, "tokens bigint, types bigint").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    answers = answers.withColumns({"tokens": sizes.select("tokens").scalar(), "types": sizes.select("types").scalar()})
+    scored = sent.groupBy("key").cogroup(answers.groupBy("asker")).applyInArrow(walk, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return scored.withColumnRenamed("doc_id", key), inputs

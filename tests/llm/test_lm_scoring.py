@@ -53,7 +53,7 @@ def test_query_against_brute_force(spark):
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = QUERIES["op2_lm_scoring"](spark, "/root/testdata/sf0.001").collect()
-    close(got, brute(docs, 2, 8.0))
+    close(got, brute(docs, 3, 8.0))
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
@@ -64,7 +64,7 @@ def test_chunks_do_not_matter(spark):
 
 
 def test_other_columns_and_empty(spark):
-    close(L.score(clashing(spark)).collect(), brute([r[:2] for r in rows()], 2, 8.0))
+    close(L.score(clashing(spark)).collect(), brute([r[:2] for r in rows()], 3, 8.0))
     assert L.score(empty(spark)).collect() == []
     nothing = spark.createDataFrame([(2, "only held out")], "doc_id bigint, text string")
     held = next(i for i in range(100) if L.is_held_out(i, 7, 2))
@@ -101,3 +101,38 @@ def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for x in (np.empty(0, np.uint64), np.array([0, 5, 5], np.uint64), np.sort(rng.integers(0, 2**64, 1000, np.uint64))):
         assert (L._unpack_sorted(L._pack_sorted(x)) == x).all() and (L._unpack(L._pack(x)) == x).all()
+
+
+@pytest.mark.parametrize("fan", [2, 4, 16])
+def test_steps_of_the_exchange_do_not_matter(spark, fan):
+    got = L.score(documents(spark), chunk_bytes=300, fan=fan).collect()
+    close(got, brute([r[:2] for r in rows()], 3, 8.0))
+
+
+def test_exchange_is_linear(spark):
+    """Rows that an asker sends are bounded by the fan, whatever the number of chunks; steps are its logarithm."""
+    for n in (8, 64, 512):
+        docs = spark.range(n).selectExpr("id as doc_id", "repeat(concat('a', id, ' b', id % 7, ' c'), 100) as text").repartition(4)
+        size = docs.selectExpr("sum(length(text) + 1) as n").first().n
+        _, inputs = L._plan(docs, 3, 8.0, 7, 2, "doc_id", "text", -(-size // n), 8)
+        steps = L.steps_of(n, 8)
+        assert len(inputs) == len(steps) <= max(1, math.ceil(math.log(n, 8)))
+        assert all(i.count() <= 2 * n * 9 for i in inputs)
+    assert len(L.steps_of(8192, 4096)) == 1 and len(L.steps_of(2**24, 4096)) == 2
+
+
+def test_equal_rows_are_spread(spark):
+    """Copies lie in chunks by place: none holds more than its bytes, and each scan task keeps its own."""
+    docs = spark.createDataFrame([(1, "to be or not to be")] * 10_000 + [(2, "that is")] * 100, "doc_id bigint, text string").repartition(4)
+    _, (sent,) = L._plan(docs, 3, 8.0, 7, 2, "doc_id", "text", 20_000, 4096)
+    chunks = [L.pa.ipc.open_stream(r.docs).read_all().num_rows for r in sent.where("key >= 0").collect()]
+    assert sum(chunks) == 10_100 and max(chunks) <= 20_000 // 8 and len(chunks) >= 9
+    got = {tuple(r) for r in L.score(docs, chunk_bytes=20_000).collect()}
+    want = list(brute([(1, "to be or not to be")] * 10_000 + [(2, "that is")] * 100, 3, 8.0))
+    assert len(got) == 2
+    close(got, list({w[0]: w for w in want}.values()))
+
+
+def test_long_text_is_whole(spark):
+    docs = spark.createDataFrame([(1, "x y z " * 20_000), (2, "x y"), (3, None)], "doc_id bigint, text string")
+    close(L.score(docs, chunk_bytes=500).collect(), brute([tuple(r) for r in docs.collect()], 3, 8.0))
