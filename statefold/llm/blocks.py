@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 UNIT = ("lo", "hi")
 
 
-def cut_groups(rows: DataFrame, by: Sequence[str], part_of: Column, size: int) -> DataFrame:
+def cut_groups(rows: DataFrame, by: Sequence[str], part_of: Column, size: int, tasks: int | None = None) -> DataFrame:
     """rows with lo, hi, side, sorted by group in their partitions, each unit (by, lo, hi) in one.
 
     A group of at most ``size`` rows is one unit, lo = hi = 0. A larger one is dealt by part_of (a hash) into parts of
     about ``size``; each pair of parts is a unit whose rows have side 0 (of lo) and 1 (of hi), and each part alone is one.
-    So two rows of a group meet in exactly one unit, and no task needs more than two parts.
+    So two rows of a group meet in exactly one unit, and no task needs more than two parts. ``tasks``: into how many partitions
+    units are dealt; by default as many as their bytes call for, which is too few where rows are narrow and work is not.
     """
     by = list(by)
     large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
@@ -26,7 +27,8 @@ def cut_groups(rows: DataFrame, by: Sequence[str], part_of: Column, size: int) -
     rows = rows.withColumn("_other", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)")))
     rows = rows.withColumns({"lo": F.least("_mine", "_other"), "hi": F.greatest("_mine", "_other"), "side": (F.col("_mine") > F.col("_other")).cast("int")})
     rows = rows.drop("_parts", "_mine", "_other")
-    return rows.repartition(*by, *UNIT).sortWithinPartitions(*by, *UNIT)
+    dealt = rows.repartition(*by, *UNIT) if tasks is None else rows.repartition(max(tasks, 1), *by, *UNIT)
+    return dealt.sortWithinPartitions(*by, *UNIT)
 
 
 def units(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:

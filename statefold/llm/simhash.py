@@ -1,16 +1,17 @@
 """SimHash near-duplicates: sharded BK-trees over distinct fingerprints.
 
-Two fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` equal parts, so the rows that
-share such parts form a shard and no linked pair is missed. Each shard gets a BK-tree, whose children are keyed by
-their Hamming distance to the parent; a search follows only edges within the radius. Trees go to the shard's task by
-shuffle and are never gathered on the driver, as together they hold every fingerprint. A shard over ``tree_size`` rows is
-cut into parts: the tree of each part meets the rows of every other in a task of its own.
+The 64 bits are cut into ``radius + 1`` blocks. Two fingerprints within ``radius`` bits agree on a whole block, and so on its
+first bits: rows that agree there form a shard, and no linked pair is missed. Shards take as many of a block's bits as leave
+about ``tree_size`` fingerprints in each, so trees keep their size and searches their cost when the corpus grows. Each
+shard gets a BK-tree, whose children are keyed by their Hamming distance to the parent; a search follows only edges within
+the radius. Trees meet the rows of their shard by shuffle: a fingerprint needs ``radius + 1`` trees and not all, and all
+trees together, some 40 bytes for each of (radius + 1) * n nodes, grow with the corpus. A shard over twice ``tree_size``
+rows is cut into parts: the tree of each part meets the rows of every other in a task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from .graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _AT_ONCE = 1 << 16  # shingles whose bits are counted together
+_IN_TASK = 1 << 16  # rows of shards for a task, about: searches cost far more than their bytes
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -114,15 +116,31 @@ def _links(fps: list[int], sides: list[int], radius: int) -> Iterator[tuple[int,
             tree.add(fps[i], i)
 
 
-def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 4, tree_size: int = 1024) -> DataFrame:
+def shard_bits(n: int, radius: int, tree_size: int) -> int:
+    """Leading bits of a block that leave about tree_size of n fingerprints in a shard."""
+    return min(max(0, (-(-n // tree_size) - 1).bit_length()), 64 // (radius + 1))
+
+
+def shards(distinct: DataFrame, radius: int, bits: int) -> DataFrame:
+    """(fp, which, part): a row for each of the radius + 1 blocks, by whose first ``bits`` bits fingerprints are sharded."""
+    edges = [round(64 * i / (radius + 1)) for i in range(radius + 1)]
+    mask = F.lit((1 << bits) - 1)
+    parts = [F.struct(F.lit(i).alias("which"), F.shiftrightunsigned("fp", 64 - at - bits).bitwiseAND(mask).alias("part")) for i, at in enumerate(edges)]
+    return distinct.select("fp", F.explode(F.array(*parts)).alias("s")).select("fp", "s.which", "s.part")
+
+
+def tree_sizes(distinct: DataFrame, radius: int = 2, tree_size: int = 2048) -> DataFrame:
+    """(least, median, most, trees, nodes): how large the shards of distinct(fp) are."""
+    n = shards(distinct, radius, shard_bits(distinct.count(), radius, tree_size)).groupBy("which", "part").agg(F.count("*").alias("n"))
+    return n.agg(F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most"), F.count("*").alias("trees"), F.sum("n").alias("nodes"))
+
+
+def near_links(distinct: DataFrame, radius: int = 2, tree_size: int = 2048) -> DataFrame:
     """(u, v) bigint: links that connect all fingerprints of distinct(fp) within radius, spanning in each shard."""
-    if not 0 <= radius < blocks:
-        raise ValueError("radius must be under blocks")
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    signed = [m - (1 << 64) if (m := sum(c)) >> 63 else m for c in combinations(masks, blocks - radius)]
-    shards = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)]))
-    rows = distinct.select("fp", shards.alias("s")).select("fp", "s.which", "s.part")
+    if not 0 <= radius < 64:
+        raise ValueError("the radius must be from 0 to 63")
+    n = distinct.count()
+    rows = shards(distinct, radius, shard_bits(n, radius, tree_size))
     by = ["which", "part"]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +161,7 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 4, tree_size:
         if u:
             yield out()
 
-    return cut_groups(rows, by, F.xxhash64("fp"), tree_size).mapInArrow(linked, "u bigint, v bigint")
+    return cut_groups(rows, by, F.xxhash64("fp"), 2 * tree_size, -(-n * (radius + 1) // _IN_TASK)).mapInArrow(linked, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:

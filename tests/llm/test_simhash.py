@@ -107,3 +107,20 @@ def test_keep_first_and_other_columns(spark):
 def test_a_very_long_text():
     text = " ".join(f"w{i % 1000}" for i in range(200_000))
     assert S.fingerprint(text) == slow_fingerprint(text)
+
+
+def test_trees_keep_their_size(spark):
+    """Shards are few and trees large, whatever the number of fingerprints; each fingerprint is in radius + 1 trees."""
+    rng = random.Random(2)
+    for n in (500, 4_000, 16_000):
+        fps = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(n)], "fp bigint")
+        r = S.tree_sizes(fps, 2, 500).first()
+        assert r.nodes == 3 * n and 200 <= r["median"] <= 520 and r.most < 750 and r.trees <= 3 * 2 ** S.shard_bits(n, 2, 500)
+
+
+def test_other_radii(spark):
+    fps = _clusters(200, 3)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    for radius in (0, 1, 5):
+        got = {r.node: r.root for r in components(S.near_links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), radius, 16)).collect()}
+        assert [got.get(s, s) for s in signed] == slow_components(list(zip(signed, fps, strict=True)), radius)
