@@ -17,12 +17,13 @@ chunk the totals of just the n-grams that it asked for; the chunk builds the par
 and scores them. Where chunks are more than ``fan`` ranges can serve, groups of chunks ask for a range together: their
 blocks are merged by a node, which asks narrower ranges as a chunk would. So a chunk or node sends ``fan`` rows at most, and rows
 grow as n log n with base ``fan``; with the default there is one step up to some 64 GB of text and two up to 500 TB.
-N-grams travel as sorted, delta-coded 64-bit hashes in binary blocks: a pair of equal hashes of different n-grams is
-expected once in about 5 billion distinct ones.
+N-grams travel as sorted, delta-coded hashes in binary blocks, words by 64 bits and longer ones by 60: a pair of equal
+hashes is expected once in about 5 billion distinct words, and once in about 1.5 billion distinct longer n-grams.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -40,6 +41,7 @@ END = 0x9E3779B97F4A7C15  # the end token, and what stands before a text; no wor
 BEGIN = 0xC2B2AE3D27D4EB4F
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _CACHED_WORDS = 300_000
+_KEPT = np.uint64(2**64 - 16)  # bits of the hashes of two words and more; bits that are zero cost nothing to send
 
 
 class _Words(dict):
@@ -104,7 +106,7 @@ class Chunk:
             every = np.concatenate([lv[n] for lv in levels]) if levels else np.empty(0, np.uint64)
             for lv in levels:
                 lv[n] = None
-            keys, at = np.unique(every, return_inverse=True)
+            keys, at = np.unique(every & _KEPT if n else every, return_inverse=True)
             self.keys.append(keys)
             self.at.append(at.astype(np.int32))
 
@@ -129,12 +131,35 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+_HEAD = struct.Struct("<QIBB")  # first key, number of keys, low bits of a difference, bits that are zero in all keys
+
+
 def _pack_sorted(x: np.ndarray) -> bytes:
-    return _pack(np.diff(x, prepend=np.uint64(0)))
+    """Sorted hashes by their differences in Rice's code: the low bits as they are, the rest in unary. Near the least possible size."""
+    if not len(x):
+        return b""
+    zeros = 0 if int(np.bitwise_or.reduce(x)) & 15 else 4
+    y = x >> np.uint64(zeros)
+    gaps = np.diff(y)
+    low = max(int(gaps.mean()).bit_length() - 1, 0) if len(gaps) else 0
+    ends = np.cumsum((gaps >> np.uint64(low)).astype(np.int64) + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.uint8)
+    unary[ends] = 1
+    bits = np.unpackbits(gaps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
+    return _HEAD.pack(int(y[0]), len(y), low, zeros) + np.packbits(bits).tobytes() + np.packbits(unary).tobytes()
 
 
 def _unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw), dtype=np.uint64)
+    if not raw:
+        return np.empty(0, np.uint64)
+    first, n, low, zeros = _HEAD.unpack_from(raw)
+    size = -(-(n - 1) * low // 8)
+    bits = np.zeros((n - 1, 64), np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(raw, np.uint8, size, _HEAD.size), count=(n - 1) * low).reshape(n - 1, low)
+    gaps = np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=_HEAD.size + size)))
+    gaps += (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(low)
+    return np.cumsum(np.concatenate((np.array([first], np.uint64), gaps)), dtype=np.uint64) << np.uint64(zeros)
 
 
 def _split(keys: np.ndarray, first: int, bits: int) -> list[int]:
@@ -146,47 +171,50 @@ def _split(keys: np.ndarray, first: int, bits: int) -> list[int]:
     return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
 
-def _packed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return [pack(_pack_sorted(k)) for k in keys], [pack(_pack(c)) for c in counts]
+def _frame(parts: Sequence[bytes]) -> bytes:
+    """Byte strings in one compressed frame: a row of the exchange has one frame, as frames cost bytes of their own."""
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
 
 
-def _unpack_keys(raw: bytes) -> np.ndarray:
-    return _unpack_sorted(zstandard.ZstdDecompressor().decompress(raw))
+def _parts(frame: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(frame)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum([4 * (n + 1), *np.frombuffer(raw, "<u4", n, 4)]).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    return _unpack(zstandard.ZstdDecompressor().decompress(raw)).view(np.int64)
+    return _unpack(raw).view(np.int64)
 
 
 def _blocks(asker: int, keys: list[np.ndarray], counts: list[np.ndarray], first: int, bits: int) -> Iterator[tuple]:
-    """(range, asker, None, keys and counts of each order) for each range after a prefix that the asker has keys in."""
+    """(range, asker, None, frame of keys and counts of each order) for each range after a prefix that the asker has keys in."""
     cuts = [_split(k, first, bits) for k in keys]
     for r in range(1 << bits):
         parts = [slice(c[r], c[r + 1]) for c in cuts]
         if any(s.stop > s.start for s in parts):
-            yield r, asker, None, *_packed([k[s] for k, s in zip(keys, parts, strict=True)], [c[s] for c, s in zip(counts, parts, strict=True)])
+            yield r, asker, None, _frame([_pack_sorted(k[s]) for k, s in zip(keys, parts, strict=True)] + [_pack(c[s]) for c, s in zip(counts, parts, strict=True)])
 
 
-def _merged(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
+def _merged(table: pa.Table, orders: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
     """Of a group of askers' blocks: distinct keys and summed counts of each order, and where each asker's keys stand in them."""
-    asked, told = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+    frames = [_parts(x.as_py()) for x in table.column("asked")]
+    order = len(frames[0]) // 2
     keys, counts, places = [], [], []
-    for n in range(len(asked[0])):
-        each = [_unpack_keys(x[n]) for x in asked]
+    for n in range(orders or order):
+        each = [_unpack_sorted(x[n]) for x in frames]
         distinct, at = np.unique(np.concatenate(each), return_inverse=True)
         keys.append(distinct)
         # Sums are exact below 2**53.
-        counts.append(np.bincount(at, weights=np.concatenate([_unpack_counts(x[n]) for x in told]), minlength=len(distinct)).astype(np.int64))
+        counts.append(np.bincount(at, weights=np.concatenate([_unpack_counts(x[order + n]) for x in frames]), minlength=len(distinct)).astype(np.int64))
         places.append(np.split(at, np.cumsum([len(e) for e in each])[:-1]))
     return keys, counts, places
 
 
 def _told(table: pa.Table, totals: list[np.ndarray], places: list[list[np.ndarray]], r: int) -> Iterator[tuple]:
-    """(asker, range, totals of each order) for each asker of a group."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    """(asker, range, frame of the totals of each order) for each asker of a group."""
     for i, asker in enumerate(table.column("asker").to_pylist()):
-        yield asker, r, [pack(_pack(t[at[i]])) for t, at in zip(totals, places, strict=True)]
+        yield asker, r, _frame([_pack(t[at[i]]) for t, at in zip(totals, places, strict=True)])
 
 
 def _blob(part: pa.Table) -> bytes:
@@ -275,19 +303,20 @@ def _rows(rows: Iterator[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_BYTES = pa.list_(pa.binary())
 # A row of the exchange is a chunk on its way to where it is scored (key >= 0, its number; docs), or what an asker asks a
 # range for (key < 0).
-_SENT = pa.schema([("key", pa.int64()), ("asker", pa.int64()), ("docs", pa.binary()), ("keys", _BYTES), ("counts", _BYTES)])
-_SENT_SQL = "key bigint, asker bigint, docs binary, keys array<binary>, counts array<binary>"
-_ANSWERS = pa.schema([("asker", pa.int64()), ("r", pa.int64()), ("totals", _BYTES)])
-_ANSWERS_SQL = "asker bigint, r bigint, totals array<binary>"
+_SENT = pa.schema([("key", pa.int64()), ("asker", pa.int64()), ("docs", pa.binary()), ("asked", pa.binary())])
+_SENT_SQL = "key bigint, asker bigint, docs binary, asked binary"
+_ANSWERS = pa.schema([("asker", pa.int64()), ("r", pa.int64()), ("totals", pa.binary())])
+_ANSWERS_SQL = "asker bigint, r bigint, totals binary"
 _SIZES = pa.schema([("tokens", pa.int64()), ("types", pa.int64())])
 
 
 def steps_of(chunks: int, fan: int) -> list[int]:
-    """Bits by which hashes are divided in each step: half as many ranges as chunks in the end, 2**bits <= fan in each step."""
-    bits, most = max(0, (max(chunks, 1) - 1).bit_length() - 1), max(fan, 2).bit_length() - 1
+    """Bits by which hashes are divided in each step, 2**bits <= fan in each. In the end there are half as many ranges as
+    chunks, and where chunks are few, 64 to 256, so that tasks get several small groups each and not one or two large ones."""
+    bits, most = (max(chunks, 1) - 1).bit_length(), max(fan, 2).bit_length() - 1
+    bits = max(bits - 1, min(bits + 1, 8), 6)
     n = max(1, -(-bits // most))
     return [bits // n + (i < bits % n) for i in range(n)]
 
@@ -336,7 +365,8 @@ def exchanged(sent: DataFrame, steps: list[int], first: int = 0, nodes: int = 1)
 
 def _joined(answers: pa.Table) -> list[np.ndarray]:
     """The totals of all ranges that an asker asked, in the order of its keys."""
-    parts = [x for _, x in sorted(zip(answers.column("r").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda x: x[0])]
+    in_order = sorted(zip(answers.column("r").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda x: x[0])
+    parts = [_parts(frame) for _, frame in in_order]
     return [np.concatenate([_unpack_counts(p[n]) for p in parts]) for n in range(len(parts[0]))]
 
 
@@ -370,14 +400,14 @@ def _plan(docs: DataFrame, order: int, mu: float, modulus: int, remainder: int,
             out = np.array([is_held_out(k, modulus, remainder) for k in part.column("_id").to_pylist()], bool)
             asked = _blocks(number, chunk.keys, chunk.training_counts(out), 0, steps[0])
             group = zlib.crc32(number.to_bytes(8, "little")) % groups
-            sent = [(number, number, _blob(part), None, None), *((_key(r, group, groups), *rest) for r, *rest in asked)]
+            sent = [(number, number, _blob(part), None), *((_key(r, group, groups), *rest) for r, *rest in asked)]
             yield from _rows(iter(sent), _SENT).to_batches()
 
     def count(t: pa.Table) -> pa.Table:
         """Training tokens and types of a range."""
         if t.column("key")[0].as_py() >= 0:
             return _SIZES.empty_table()
-        _, counts, _ = _merged(t)
+        _, counts, _ = _merged(t, 1)
         return _rows(iter([(int(counts[0].sum()), int((counts[0] > 0).sum()))]), _SIZES)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
