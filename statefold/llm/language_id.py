@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 150  # labelled texts of each language to fit on, about
-SAMPLE_CHARS = 100_000  # of longer ones the sample takes the first words, where shorter ones are too few
+SAMPLE_CHARS = 100_000  # of longer ones the sample takes SPANS spans, so many characters together
+SPANS = 8
 UNKNOWN = "und"
 _BITS = 16
 _BLOCK = 64
@@ -289,35 +290,30 @@ def _is_held_out(key: str, modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def _whole_words(text: str, chars: int) -> str:
-    """The whole words of a text's first characters; of a single word that is longer, its beginning."""
-    if len(text) <= chars:
-        return text
-    span = text[:chars]
-    return span if text[chars].isspace() else (span.rsplit(None, 1) or [span])[0]
+def _whole_words(spans: Sequence[str]) -> str:
+    """Spans of a text that were cut anywhere, without the parts of words at their cuts; a text in one span as it is."""
+    if len(spans) == 1:
+        return spans[0]
+    return " ".join(" ".join(s.split()[1:-1]) or s for s in spans)
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 3, remainder: int = 1, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """Labelled texts to fit on: for each language about ``rows`` by a hash of key and text, none held out. Texts longer than
-    ``chars`` are taken where a language has fewer shorter ones: their first whole words, up to as many characters.
-    Languages are few; their counts come first, so the sample is a filter and not a sort."""
-    cut = F.substring(F.col(text), 1, chars + 1).alias("_text")
-    usable = docs.select(F.col(lang).alias("_lang"), cut, F.xxhash64(key, text).alias("_h")).where(~_is_held_out(key, modulus, remainder) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    short = F.length("_text") <= chars
-    counts = {r["_lang"]: (r["n"], r["m"]) for r in usable.groupBy("_lang").agg(F.count_if(short).alias("n"), F.count_if(~short).alias("m")).collect()}
+    """Labelled texts to fit on: for each language about ``rows`` by a hash of key and text, none held out, whatever their
+    length. A text over ``chars`` characters gives SPANS spans of whole words, spread evenly from its beginning to its end, of
+    so many characters together. Languages are few; their counts come first, so the sample is a filter and not a sort."""
+    usable = docs.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_h")).where(~_is_held_out(key, modulus, remainder) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-
-    def of(value: dict[str, int]):
-        return F.element_at(F.create_map(*[x for lang_, n in sorted(value.items()) for x in (F.lit(lang_), F.lit(n).cast("bigint"))]), F.col("_lang"))
-
-    some = F.pmod("_h", of({k: max(n, 1) for k, (n, _) in counts.items()})) < 2 * rows
-    fill = F.pmod("_h", of({k: max(m, 1) for k, (_, m) in counts.items()})) < 2 * of({k: max(rows - n, 0) for k, (n, _) in counts.items()})
-    picked = usable.where(F.when(short, some).otherwise(fill)).collect()
+    n = F.element_at(F.create_map(*[x for lang_, n in sorted(counts.items()) for x in (F.lit(lang_), F.lit(n).cast("bigint"))]), F.col("_lang"))
+    size = max(chars // SPANS, 1)
+    starts = [F.floor((F.length("_text") - size) * i / (SPANS - 1)).cast("int") + 1 for i in range(SPANS)]
+    spans = F.when(F.length("_text") <= chars, F.array("_text")).otherwise(F.array(*[F.substring(F.col("_text"), at, F.lit(size)) for at in starts]))
+    picked = usable.where(F.pmod("_h", n) < 2 * rows).select("_lang", "_h", spans.alias("_spans")).collect()
     taken: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (len(r["_text"]) > chars, r["_lang"], r["_h"], r["_text"])):
+    for r in sorted(picked, key=lambda r: (r["_lang"], r["_h"], r["_spans"])):
         if len(mine := taken.setdefault(r["_lang"], [])) < rows:
-            mine.append((r["_lang"], _whole_words(r["_text"], chars)))
+            mine.append((r["_lang"], _whole_words(r["_spans"])))
     return [x for lang_ in sorted(taken) for x in taken[lang_]]
 
 
@@ -326,7 +322,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Fitted on rows with a language whose crc32(key as text) mod ``modulus`` is not ``remainder``; the language, the key and
     other columns play no part in a prediction. Null texts and texts without a letter: 'und', 0. Ties go to the language
-    that sorts first. A null key is not held out. Without a labelled text all are 'und'. The model (a few MB, whatever the
+    that sorts first. A null key is not held out. Without a labelled text all are 'und'; an empty table gives an empty
+    result, and repeated rows each a row. Every text is labelled whole, however long: its words go through in blocks. The model (a few MB, whatever the
     corpus) goes to tasks as a broadcast variable.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, key, text, lang, modulus, remainder)))
