@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the template: what opens and closes a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 MASKED_ROLE = "assistant"
 
+HEAD = 64  # characters of a text that order messages of the same turn and role
 EVENT_KINDS = ("start", "delta", "edit", "regenerate", "delete")
 
 _BAR = re.compile(r"<(\\*)\|")
@@ -85,39 +87,88 @@ class Message:
 def read_turns(chunks: Iterable[str]) -> Iterator[tuple[str, str, tuple[int, int]]]:
     """(role, text, span) of every turn of a formatted conversation, given in chunks that may be cut anywhere.
 
-    span is where the escaped text stands in the whole. A malformed conversation raises ValueError.
+    span is where the escaped text stands in the whole. A malformed conversation raises ValueError. What is held is the turn
+    that is not complete yet; a chunk is looked through once, however many a turn has.
     """
-    rest, base = "", 0
+    reader = TurnReader()
     for chunk in chunks:
-        rest += chunk
-        while (end := rest.find(CLOSE + "\n")) >= 0:
-            head = rest.find("\n", 0, end)
-            if not rest.startswith(OPEN) or head < 0:
+        for role, body, at in reader.feed(chunk):
+            yield role, unescape(body), (at, at + len(body))
+    reader.end()
+
+
+class TurnReader:
+    """Reads a conversation's output as it comes: ``feed`` gives (role, escaped text, its place in the whole) of turns that are complete."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []  # of the turn that is not complete
+        self.tail = ""  # the last characters of it, in which the end of a turn may have begun
+        self.base = 0
+
+    def feed(self, chunk: str) -> Iterator[tuple[str, str, int]]:
+        end = CLOSE + "\n"
+        self.held.append(chunk)
+        if end not in self.tail + chunk:
+            self.tail = (self.tail + chunk)[-len(end) + 1 :]
+            return
+        rest, at = "".join(self.held), 0
+        while (stop := rest.find(end, at)) >= 0:
+            head = rest.find("\n", at, stop)
+            if not rest.startswith(OPEN, at) or head < 0:
                 raise ValueError("a turn does not begin with its header")
-            yield unescape_role(rest[len(OPEN) : head]), unescape(rest[head + 1 : end]), (base + head + 1, base + end)
-            cut = end + len(CLOSE) + 1
-            rest, base = rest[cut:], base + cut
-    if rest:
-        raise ValueError("text after the last turn")
+            yield unescape_role(rest[at + len(OPEN) : head]), rest[head + 1 : stop], self.base + head + 1
+            at = stop + len(end)
+        self.base += at
+        self.held, self.tail = [rest[at:]], rest[at:][-len(end) + 1 :]
+
+    def end(self) -> None:
+        if any(self.held):
+            raise ValueError("text after the last turn")
+
+
+_READ_CHARS = 1 << 16
 
 
 class Digest:
-    """What is read back from a conversation's output, turn by turn."""
+    """What is read back from a conversation's output. The output is one run of text: segments are strung together and read
+    in blocks that end anywhere, and the loss mask is a list of spans of that run."""
 
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.reader, self.output, self.size = TurnReader(), [], 0
+        self.mask: deque[tuple[int, int]] = deque()
 
     def add(self, segment: Segment) -> None:
-        for role, text, _ in read_turns([segment.text]):
-            self.n_turns += 1
-            self.turns.update(f"{role}\n{text}\n".encode())
-        covered = unescape(segment.text[segment.loss_from : segment.loss_to])
-        self.loss_chars += len(covered)
-        self.loss.update(covered.encode())
+        if segment.loss_to > segment.loss_from:
+            self.mask.append((self.formatted_chars + segment.loss_from, self.formatted_chars + segment.loss_to))
         self.formatted_chars += len(segment.text)
+        self.output.append(segment.text)
+        self.size += len(segment.text)
+        if self.size >= _READ_CHARS:
+            whole = "".join(self.output)
+            cut = len(whole) // _READ_CHARS * _READ_CHARS
+            self.output, self.size = [whole[cut:]], len(whole) - cut
+            for at in range(0, cut, _READ_CHARS):
+                self._read(whole[at : at + _READ_CHARS])
+
+    def _read(self, chunk: str) -> None:
+        for role, body, at in self.reader.feed(chunk):
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{unescape(body)}\n".encode())
+            while self.mask and self.mask[0][0] < at + len(body):
+                begin, stop = self.mask.popleft()
+                if begin < at or stop > at + len(body):
+                    raise ValueError("the loss mask covers more than a turn's text")
+                covered = unescape(body[begin - at : stop - at])
+                self.loss_chars += len(covered)
+                self.loss.update(covered.encode())
 
     def row(self) -> tuple:
+        self._read("".join(self.output))
+        self.reader.end()
+        if self.mask:
+            raise ValueError("the loss mask covers what is no turn's text")
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
 
 
@@ -125,15 +176,17 @@ _BY = ["conv_id", "message", "seq", "kind", "role", "text"]
 
 
 def _ordered(events: DataFrame) -> DataFrame:
-    """One conversation in one partition, sorted; ties by kind, role and text, so equal logs give equal results."""
-    return events.select(*_BY).repartition("conv_id").sortWithinPartitions(*_BY)
+    """One conversation in one partition, sorted; ties by kind, role and text, so equal logs give equal results. A message
+    goes on by a hash of its name, which need not be a number."""
+    events = events.select(*_BY).repartition("conv_id").sortWithinPartitions(*_BY)
+    return events.select("conv_id", F.xxhash64("message").alias("message"), "kind", "role", "text")
 
 
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int | None, Message]]:
     now: tuple | None = None
     message = Message()
     for b in batches:
-        for conv, at, _seq, kind, role, text in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+        for conv, at, kind, role, text in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
             if (conv, at) != now:
                 if now is not None and not message.gone:
                     yield *now, message
@@ -188,7 +241,8 @@ def format_segments(events: DataFrame) -> DataFrame:
     """The formatted conversations, in a row for each turn: conv_id, turn (from 0), role, segment, start, loss_from, loss_to.
 
     A conversation's output is its segments in a row, which fit no matter how long it is; start, loss_from and loss_to are
-    code points in that output. events: conv_id, message (its place), seq, kind (see ``Message.fold``), role, text.
+    code points in that output. events: conv_id, message (its place, of any type that sorts), seq, kind (see ``Message.fold``),
+    role, text.
     """
     names = ["conv_id", "turn", "role", "segment", "start", "loss_from", "loss_to"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -197,7 +251,7 @@ def format_segments(events: DataFrame) -> DataFrame:
 
 
 def format_digests(events: DataFrame) -> DataFrame:
-    """One row for each conversation with a message, read back from its rendered segments: n_turns, turns_sha256 (of role,
+    """One row for each conversation with a message, read back from its output as a whole: n_turns, turns_sha256 (of role,
     line feed, text, line feed for each turn), loss_chars and loss_sha256 (of what the loss mask covers, unescaped),
     formatted_chars. A null conv_id is a conversation; an empty log gives an empty result."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -207,16 +261,30 @@ def format_digests(events: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of finished turns (conv_id, turn, role, text): each row is a message that starts and gets its text in a delta.
+    """A log that ends in the turns (conv_id, turn, role, text), as a live one would: texts come in three deltas, and by a hash
+    a draft comes first, which is generated anew, edited, or deleted and then edited.
 
-    Rows with the same turn, repeated rows too, are messages of their own, in the order of role and text; null turns come
-    first. Columns besides these four are not read. Rows of a turn differ in seq: its place among them is not needed, as a
-    message is named by the turn and a hash of its row, and equal rows by their number in the group.
+    Each row is a message of its own, repeated rows too. Messages are in order of the turn, nulls first, then of role and the
+    text's first HEAD characters, then of its hash. Null roles and texts are empty. Other columns are not read. Nothing is
+    grouped or shuffled here; an empty table gives an empty log.
     """
-    rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    each = rows.withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
-    message = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("copy"))
-    start = F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.lit(None).cast("string").alias("text"))
-    delta = F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text").alias("text"))
-    events = each.select("conv_id", message.alias("message"), F.explode(F.array(start, delta)).alias("e"))
-    return events.select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.text")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    message = F.struct("turn", "role", F.left("text", F.lit(HEAD)).alias("head"), F.xxhash64("text").alias("hash"), "row")
+    third = F.ceil(F.length("text") / 3).cast("int")
+    parts = [F.left("text", third), F.substring(F.col("text"), third + 1, third), F.substring(F.col("text"), 2 * third + 1, third)]
+    none = F.lit(None).cast("string")
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        made = [(kind, F.col("role") if i == 0 else none, said) for i, (kind, said) in enumerate([*steps, ("delta", parts[1]), ("delta", parts[2])])]
+        return F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(k).alias("kind"), who.alias("role"), said.alias("text")) for i, (k, who, said) in enumerate(made)])
+
+    draft = F.reverse(F.left("text", F.lit(12)))
+    way = F.pmod(F.xxhash64("text", "role"), F.lit(4))
+    events = (
+        F.when(way == 0, log(("start", parts[0])))
+        .when(way == 1, log(("start", draft), ("regenerate", parts[0])))
+        .when(way == 2, log(("start", draft), ("edit", parts[0])))
+        .otherwise(log(("start", draft), ("delete", none), ("edit", parts[0])))
+    )
+    return rows.select("conv_id", message.alias("message"), F.explode(events).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.text")

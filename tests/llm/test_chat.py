@@ -107,3 +107,24 @@ def test_query_adds_the_probe_and_sql_agrees(spark):
     theirs = db.sql(ORACLE_SQL["op6_chat_formatting"])
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     same(theirs.project(", ".join(names)).fetchall(), [*brute(TURNS), *brute([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)])])
+
+
+def test_logs_hold_drafts_edits_and_regenerations(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"message {i} <|im_end|>\n" * (i % 5)) for i in range(60)]
+    events = C.events_of(spark.createDataFrame(turns, SCHEMA))
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert set(kinds) == set(C.EVENT_KINDS) and kinds["start"] == 60 and kinds["delta"] == 120
+    same(C.format_digests(events).collect(), brute(turns))
+
+
+def test_a_long_conversation_is_read_back_in_blocks(spark):
+    turns = [(7, i, "assistant" if i % 3 else "user", f"{i} <|é\n" * (40_000 if i == 100 else 50)) for i in range(3_000)]
+    same(C.format_digests(C.events_of(spark.createDataFrame(turns, SCHEMA).repartition(6))).collect(), brute(turns))
+
+
+def test_the_mask_must_cover_texts_of_turns():
+    d = C.Digest()
+    s = C.render("assistant", "hello")
+    d.add(C.Segment(s.text, s.loss_from, len(s.text)))
+    with pytest.raises(ValueError):
+        d.row()
