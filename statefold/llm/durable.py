@@ -1,37 +1,47 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage in the folder that driver and executors share, and dealing rows to all cores."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ROWS_IN_FILE = 500_000  # narrow rows that one task of a checkpoint writes, at least where it has them
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
+    """The session's spark.checkpoint.dir. Where none is set a session on this machine alone gets a temporary folder; one with
+    executors of their own does not, as they would not see each other's files: RuntimeError."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="statefold-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, joined: bool = False) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise df reliably, so that a lost executor costs a re-read and not a recomputation.
 
-    Every partition becomes a file of the shared folder. ``joined`` is for narrow results of a shuffle: neighbouring
-    partitions become one, without another shuffle, down to four for each core of the cluster. What reads texts keeps the
-    partitions of its scan, so that a task that is run again has not more to do than one split.
+    Every partition becomes a file of the shared folder. ``rows``, a bound on the rows of a narrow result of a shuffle, joins
+    neighbouring partitions without another shuffle, so that small results do not become many files: as many partitions
+    stay as give each ROWS_IN_FILE rows, and one for each core. What reads texts keeps the partitions of its scan.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    return (df.coalesce(max(4 * spark.sparkContext.defaultParallelism, 1)) if joined else df).checkpoint(eager=True)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_IN_FILE)))
+    return df.checkpoint(eager=True)
+
 
+def spread(scan: DataFrame) -> DataFrame:
+    """scan, with its rows dealt anew if it has rows in fewer partitions than there are cores, as one file of one row group has.
 
-def fewer_files(result: DataFrame, scan: DataFrame) -> DataFrame:
-    """result in fewer, larger parts: neighbouring partitions become one down to the number of eight splits' worth of the
-    scan that it comes from, but six for each core of the cluster at least. For what is written as it is."""
-    spark = scan.sparkSession
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, by the planner
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return result.coalesce(max(6 * spark.sparkContext.defaultParallelism, -(-size // (8 * split))))
+    Only a table of fewer files than cores is looked at, and that reads no column.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if len(scan.inputFiles()) >= cores or scan.select(F.spark_partition_id()).distinct().count() >= cores:
+        return scan
+    return scan.repartition(cores)

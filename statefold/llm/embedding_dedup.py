@@ -147,7 +147,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, how: Hashing =
     rows = rows.withColumn("_ok", _comparable("_v") & F.col("_label").isNotNull())
     rows = rows.withColumn("_same", F.when(F.col("_ok"), F.xxhash64("_label", "_v")))
     classes = rows.where("_ok").groupBy("_same", "_label", "_v").agg(F.min("_key").alias("least"), F.count("*").alias("n"))
-    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), joined=True)
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +184,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, how: Hashing =
 
     found = cut(cut_groups(spread, by, F.xxhash64("cls"), unit_size).mapInArrow(linked, "cls bigint, links bigint, root bigint"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
+    roots = components(cut(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))))
     of = classes.select("_same", "_label", "_v", "cls", "least", "n").join(links, "cls", "left").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     of = of.withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))

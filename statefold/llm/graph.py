@@ -33,14 +33,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that occurs in edges(u, v); root is the smallest node of its component.
 
     Nodes must be comparable and not null; self loops and repeated edges are fine. Each round is cut, so lineage stays
-    short. Raises RuntimeError if the rounds do not settle (log-many suffice), rather than return a partial answer.
+    short; edges are counted first, so they should be cut themselves. Raises RuntimeError if the rounds do not settle (log-many suffice), rather than return a partial answer.
     """
-    now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), joined=True)
+    now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), edges.count())
     seen = None
     for _ in range(max_rounds):
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = mark
-        now = cut(_small_star(_large_star(now)).where("u != v").distinct(), joined=True)
+        now = cut(_small_star(_large_star(now)).where("u != v").distinct(), 2 * mark[0])  # a step makes two edges of one at most
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -23,7 +23,6 @@ hashes is expected once in about 5 billion distinct words, and once in about 1.5
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -36,6 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .codes import pack, pack_sorted, unpack, unpack_sorted
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = 0x9E3779B97F4A7C15  # the end token, and what stands before a text; no word is hashed to them on purpose
 BEGIN = 0xC2B2AE3D27D4EB4F
@@ -115,53 +116,6 @@ class Chunk:
         return [np.bincount(at[used], minlength=len(k)).astype(np.int64) for k, at in zip(self.keys, self.at, strict=True)]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes: high bytes of small values are runs of zeros, which the shuffle compresses."""
-    x = x.astype("<u8")
-    top = int(x.max()) if len(x) else 0
-    planes = max(1, (top.bit_length() + 7) // 8)
-    return bytes([planes]) + x.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = raw[0]
-    n = (len(raw) - 1) // planes
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :planes] = np.frombuffer(raw, np.uint8, offset=1).reshape(planes, n).T
-    return out.reshape(-1).view("<u8")
-
-
-_HEAD = struct.Struct("<QIBB")  # first key, number of keys, low bits of a difference, bits that are zero in all keys
-
-
-def _pack_sorted(x: np.ndarray) -> bytes:
-    """Sorted hashes by their differences in Rice's code: the low bits as they are, the rest in unary. Near the least possible size."""
-    if not len(x):
-        return b""
-    zeros = 0 if int(np.bitwise_or.reduce(x)) & 15 else 4
-    y = x >> np.uint64(zeros)
-    gaps = np.diff(y)
-    low = max(int(gaps.mean()).bit_length() - 1, 0) if len(gaps) else 0
-    ends = np.cumsum((gaps >> np.uint64(low)).astype(np.int64) + 1) - 1
-    unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.uint8)
-    unary[ends] = 1
-    bits = np.unpackbits(gaps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
-    return _HEAD.pack(int(y[0]), len(y), low, zeros) + np.packbits(bits).tobytes() + np.packbits(unary).tobytes()
-
-
-def _unpack_sorted(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.empty(0, np.uint64)
-    first, n, low, zeros = _HEAD.unpack_from(raw)
-    size = -(-(n - 1) * low // 8)
-    bits = np.zeros((n - 1, 64), np.uint8)
-    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(raw, np.uint8, size, _HEAD.size), count=(n - 1) * low).reshape(n - 1, low)
-    gaps = np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
-    ends = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=_HEAD.size + size)))
-    gaps += (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(low)
-    return np.cumsum(np.concatenate((np.array([first], np.uint64), gaps)), dtype=np.uint64) << np.uint64(zeros)
-
-
 def _split(keys: np.ndarray, first: int, bits: int) -> list[int]:
     """Where the keys of each of 2**bits ranges begin, by the ``bits`` bits after the ``first`` ones, which all keys share; and the end."""
     if not bits:
@@ -184,7 +138,7 @@ def _parts(frame: bytes) -> list[bytes]:
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    return _unpack(raw).view(np.int64)
+    return unpack(raw).view(np.int64)
 
 
 def _blocks(asker: int, keys: list[np.ndarray], counts: list[np.ndarray], first: int, bits: int) -> Iterator[tuple]:
@@ -193,7 +147,7 @@ def _blocks(asker: int, keys: list[np.ndarray], counts: list[np.ndarray], first:
     for r in range(1 << bits):
         parts = [slice(c[r], c[r + 1]) for c in cuts]
         if any(s.stop > s.start for s in parts):
-            yield r, asker, None, _frame([_pack_sorted(k[s]) for k, s in zip(keys, parts, strict=True)] + [_pack(c[s]) for c, s in zip(counts, parts, strict=True)])
+            yield r, asker, None, _frame([pack_sorted(k[s]) for k, s in zip(keys, parts, strict=True)] + [pack(c[s]) for c, s in zip(counts, parts, strict=True)])
 
 
 def _merged(table: pa.Table, orders: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
@@ -202,7 +156,7 @@ def _merged(table: pa.Table, orders: int | None = None) -> tuple[list[np.ndarray
     order = len(frames[0]) // 2
     keys, counts, places = [], [], []
     for n in range(orders or order):
-        each = [_unpack_sorted(x[n]) for x in frames]
+        each = [unpack_sorted(x[n]) for x in frames]
         distinct, at = np.unique(np.concatenate(each), return_inverse=True)
         keys.append(distinct)
         # Sums are exact below 2**53.
@@ -214,7 +168,7 @@ def _merged(table: pa.Table, orders: int | None = None) -> tuple[list[np.ndarray
 def _told(table: pa.Table, totals: list[np.ndarray], places: list[list[np.ndarray]], r: int) -> Iterator[tuple]:
     """(asker, range, frame of the totals of each order) for each asker of a group."""
     for i, asker in enumerate(table.column("asker").to_pylist()):
-        yield asker, r, _frame([_pack(t[at[i]]) for t, at in zip(totals, places, strict=True)])
+        yield asker, r, _frame([pack(t[at[i]]) for t, at in zip(totals, places, strict=True)])
 
 
 def _blob(part: pa.Table) -> bytes:

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .durable import cut
 from .quality_rules import STOP_WORDS
+from .rows import without
 
 SAMPLE_ROWS = 20_000  # labelled rows that the classifier is fitted on, at most about
-BROADCAST_SITES = 100_000  # site statistics are broadcast up to so many rows, and joined by shuffle beyond
 THRESHOLD = 0.5
 
 _SYMBOLS, _DIGITS, _MARKS, _SHOUTS = b"#*$%&|<>{}[]=_~^\\", b"0123456789", b".,;:?", b"!"
@@ -163,9 +163,9 @@ def site_rates(judged: DataFrame) -> tuple[DataFrame, Rates]:
 
     Sums are partial before they are shuffled, so a host with most documents costs a row for each task.
     """
-    paths = cut(judged.groupBy("_host", "_path").agg(F.count("*").alias("n_path"), F.sum("_p").alias("s_path"), F.sum(F.col("_p") * F.col("_p")).alias("q_path")), joined=True)
+    paths = cut(judged.groupBy("_host", "_path").agg(F.count("*").alias("n_path"), F.sum("_p").alias("s_path"), F.sum(F.col("_p") * F.col("_p")).alias("q_path")))
     hosts = paths.groupBy("_host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"), F.sum(F.col("n_path") * F.col("n_path")).alias("_nn"))
-    sites = cut(paths.join(hosts, "_host"), joined=True)
+    sites = cut(paths.join(hosts, "_host"), paths.count())
     own = F.col("s_path") * F.col("s_path") / F.col("n_path")
     r = sites.agg(F.count("*").alias("paths"), F.sum("n_path").alias("n"), F.sum("s_path").alias("s"), F.sum("q_path").alias("q"), F.sum(own).alias("by_path"), F.sum(F.col("n_path") * F.col("n_path") / F.col("n_host")).alias("nn")).first()
     h = hosts.agg(F.count("*").alias("hosts"), F.sum(F.col("s_host") * F.col("s_host") / F.col("n_host")).alias("by_host"), F.sum(F.col("n_host").cast("double") * F.col("n_host")).alias("nn")).first()
@@ -184,14 +184,15 @@ def _with_probability(df: DataFrame, model: Logistic, host: Column, path: Column
 
 
 def with_scores(judged: DataFrame, sites: DataFrame, rates: Rates, columns: Sequence[str], threshold: float) -> DataFrame:
-    """columns, and evidence, host_rate, path_rate, score (0 to 1), kept; rates leave the document itself out."""
-    small = sites.select("_host", "_path", "n_path", "s_path", "n_host", "s_host")
-    small = F.broadcast(small) if sites.count() <= BROADCAST_SITES else small
+    """columns, and evidence, host_rate, path_rate, score (0 to 1), kept; rates leave the document itself out.
+
+    Sites join by their size: Spark broadcasts them below the session's threshold, and splits hot sites of a shuffled join.
+    """
     host = (F.col("s_host") - F.col("_p") + rates.host_kappa * rates.mean) / (F.col("n_host") - 1 + rates.host_kappa)
     path = (F.col("s_path") - F.col("_p") + rates.path_kappa * F.col("_host_rate")) / (F.col("n_path") - 1 + rates.path_kappa)
     prior = F.least(F.greatest(F.col("_path_rate"), F.lit(0.02)), F.lit(0.98))
     odds = F.col("_evidence") + F.log(prior) - F.log(1.0 - prior)
-    out = judged.join(small, ["_host", "_path"]).withColumn("_host_rate", host).withColumn("_path_rate", path).withColumn("_score", 1.0 / (1.0 + F.exp(-odds)))
+    out = judged.join(sites.select("_host", "_path", "n_path", "s_path", "n_host", "s_host"), ["_host", "_path"]).withColumn("_host_rate", host).withColumn("_path_rate", path).withColumn("_score", 1.0 / (1.0 + F.exp(-odds)))
     return out.select(*columns, F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept"))
 
 
@@ -210,7 +211,8 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, labelled: DataFrame | None = None) -> DataFrame:
-    """The rows of docs with kept, and their columns. Texts are measured twice and, unless sites are many, not shuffled.
+    """The rows of docs that ``classified`` keeps, with their columns. Texts are read and not shuffled: rows that are rejected
+    are told by key, site and a hash of the text, and taken out.
 
     The classifier is fitted on ``labelled``, documents that the labels are of; without it, on docs.
     """
@@ -218,11 +220,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
     own = [f"_c{i}" for i in range(len(docs.columns))]  # names that nothing below uses
     name = dict(zip(docs.columns, own, strict=True))
     safe = docs.withColumnsRenamed(name)
-
-    def judged(rows: DataFrame) -> DataFrame:
-        return _with_probability(with_evidence(rows, model, name[text]), model, F.col(name[host]), F.col(name[path]))
-
-    narrow = judged(safe.select(*dict.fromkeys((name[host], name[path], name[text]))))
-    sites, rates = site_rates(narrow.select("_host", "_path", "_p"))
-    kept = with_scores(judged(safe), sites, rates, own, threshold).where("kept")
-    return kept.select(*[F.col(c).alias(old) for old, c in name.items()])
+    known = {"_k": F.col(name[key]), "_a": F.col(name[host]), "_b": F.col(name[path]), "_x": F.xxhash64(F.coalesce(name[text], F.lit("")))}
+    measured = with_evidence(safe.select(*[c.alias(n) for n, c in known.items()], F.col(name[text]).alias("_text")), model, "_text").drop("_text")
+    judged = cut(_with_probability(measured, model, F.col("_a"), F.col("_b")))
+    sites, rates = site_rates(judged)
+    bad = cut(with_scores(judged, sites, rates, list(known), threshold).where("not kept").select(*known).distinct())
+    rows = without(safe, known, bad)
+    return rows.select(*[F.col(c).alias(old) for old, c in name.items()])

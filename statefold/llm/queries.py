@@ -8,36 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embedding_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_backend, sharding, simhash
-from .durable import fewer_files
+from .durable import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(quality_classifier.classified(docs, _table(spark, sf_dir, "labels")), docs)
+    return quality_classifier.classified(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(lm_scoring.score(docs), docs)
+    return lm_scoring.score(_documents(spark, sf_dir))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(packing.pack_documents(docs), docs)
+    return packing.pack_documents(_documents(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(language_id.identify(docs), docs)
+    return language_id.identify(_documents(spark, sf_dir))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(sharding.shard_plan(docs, shards=8), docs)
+    return sharding.shard_plan(_documents(spark, sf_dir), shards=8)
 
 
 #: Both messages of the conversation that the query adds: control strings that must come back as text.
@@ -51,23 +50,19 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(sentencepiece_backend.encode(docs), docs)
+    return sentencepiece_backend.encode(_documents(spark, sf_dir))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(simhash.near_duplicates(docs, radius=2), docs)
+    return simhash.near_duplicates(_documents(spark, sf_dir), radius=2)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return fewer_files(quality_rules.judged(docs), docs)
+    return quality_rules.judged(_documents(spark, sf_dir))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    return fewer_files(embedding_dedup.near_duplicates(vectors, cosine=0.93), vectors)
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
 _ALL = (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_language_id, op5_sharding, op6_chat_formatting, op7_sentencepiece, op8_simhash_near_dedup, op9_quality_rules, op10_embedding_near_dedup)

@@ -26,7 +26,7 @@ def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     keys, order = list(keys), list(order)
     salted = cut(df.withColumn("_salt", F.monotonically_increasing_id()))
     by = [*keys, *order, "_salt"]
-    placed = cut(salted.repartitionByRange(*by).sortWithinPartitions(*by).drop("_salt").withColumn("_at", F.monotonically_increasing_id()), joined=True)
+    placed = cut(salted.repartitionByRange(*by).sortWithinPartitions(*by).drop("_salt").withColumn("_at", F.monotonically_increasing_id()), salted.count())
     pid = F.shiftright("_at", 33)
     per = placed.groupBy(pid.alias("_pid")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition

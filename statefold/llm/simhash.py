@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .blocks import cut_groups, units
 from .durable import cut
 from .graph import components
+from .rows import without
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _AT_ONCE = 1 << 16  # shingles whose bits are counted together
@@ -171,9 +172,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     component_id unless its component has only null keys. Repeated rows share their component. Other columns are not read.
     """
     fps = cut(fingerprints(docs, key, text, width, seed))
-    vertices = cut(fps.groupBy("fp").agg(F.min(key).alias("least")), joined=True)
+    n = fps.count()
+    vertices = cut(fps.groupBy("fp").agg(F.min(key).alias("least")), n)
     # Signed order of fingerprints is as good as any for roots; the smallest key is found afterwards.
-    roots = components(near_links(vertices.select("fp"), radius))
+    roots = components(cut(near_links(vertices.select("fp"), radius)))
     of = vertices.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.where("root is not null").join(least, "root").select("fp", "component_id")
@@ -190,8 +192,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", near: C
     safe, k = docs.withColumnsRenamed(name), name[key]
     known = F.xxhash64(F.coalesce(name[text], F.lit("")))
     found = near(safe.select(F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k"), known.alias("h")).alias("id"), F.col(name[text]).alias("t")), "id", "t", **how)
-    kept = cut(found.where("id = component_id").groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h")).agg(F.count("*").alias("_n")), joined=True)
-    rows = safe.join(kept, F.col(k).eqNullSafe(F.col("_k")) & (known == F.col("_h")), "left_semi")
-    if not kept.where("_n > 1").isEmpty():
-        rows = rows.withColumn("_h", known).dropDuplicates([k, "_h"])
+    pairs = cut(found.groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h"), (F.col("id") == F.col("component_id")).alias("_first")).agg(F.count("*").alias("_n")), found.count())
+    rows = without(safe, {"_k": F.col(k), "_h": known}, pairs.where("not _first"), pairs.where("_first and _n > 1"))
     return rows.select(*[F.col(c).alias(old) for old, c in name.items()])

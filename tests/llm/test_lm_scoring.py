@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from statefold.llm import codes
 from statefold.llm import lm_scoring as L
 
 from .fixtures import clashing, documents, empty, lowered, rows, words
@@ -99,8 +100,11 @@ def test_probabilities_of_a_history_sum_to_one():
 
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
-    for x in (np.empty(0, np.uint64), np.array([0, 5, 5], np.uint64), np.sort(rng.integers(0, 2**64, 1000, np.uint64))):
-        assert (L._unpack_sorted(L._pack_sorted(x)) == x).all() and (L._unpack(L._pack(x)) == x).all()
+    for x in (np.empty(0, np.uint64), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.array([0, 5, 5], np.uint64), np.sort(rng.integers(0, 2**64, 1000, np.uint64))):
+        for y in (x, x & L._KEPT, x >> np.uint64(16)):
+            assert (codes.unpack_sorted(codes.pack_sorted(y)) == y).all() and (codes.unpack(codes.pack(y)) == y).all()
+    dense = np.sort(rng.integers(0, 2**64, 100_000, np.uint64))
+    assert 8 * len(codes.pack_sorted(dense)) / 100_000 < 64 - np.log2(100_000) + 2
 
 
 @pytest.mark.parametrize("fan", [4, 16])
