@@ -1,34 +1,47 @@
 """Embedding near-duplicates by cross-polytope hashing after fast Hadamard rotations.
 
-Each table rotates a vector pseudo-randomly (three rounds of random signs and a fast Walsh-Hadamard transform) ``hashes``
-times; the nearest signed axis of each rotation is a digit of its bucket. Multiprobe adds the buckets that differ in the
-digit with the smallest margin. Vectors of a bucket are compared exactly; every link is counted in the first bucket where
-its two vectors meet, so links are never shuffled or made distinct. Equal vectors are one vertex with a count.
+Each table rotates a vector pseudo-randomly (three rounds of random signs and a fast Walsh-Hadamard transform) once for
+each digit of its bucket; the nearest signed axis of a rotation is the digit, and the last digit looks at as many axes only
+as its bits can name. Codes have a few bits more than the label's number of vectors, so that buckets stay small however
+large a label is, and more tables where codes are longer, so that pairs are found as surely. Multiprobe adds the buckets that
+differ in the digit with the smallest margin.
+
+Buckets are formed by narrow rows; only vectors in company there go, in single precision where they came so, to the tasks that
+compare them exactly. Every link is counted in the first bucket where its two vectors meet, so links are never shuffled
+or made distinct. Equal vectors are one vertex with a count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import cut_groups, units
+from .blocks import dealt, large_groups, shared, units
 from .durable import cut
 from .graph import components
 
 
 class Hashing(NamedTuple):
-    tables: int = 6
-    hashes: int = 2
+    bits: int
+    tables: int
     probes: int = 2
     seed: int = 20
 
-    # Buckets are (2 * width) ** hashes a table and label: 16,384 for 64 dimensions and two digits. Beyond some ten million
-    # vectors a label, three digits and eight tables keep buckets small; both find over 0.99 of pairs at a cosine of 0.93.
+
+def hashing_for(level: int) -> Hashing:
+    """For labels of up to 2**level vectors. Of pairs at a cosine of 0.93 so many share a bucket of one table that these tables
+    miss about 0.003 of them: 1.3 * 1.112**bits, a fit to measured shares, which tests measure anew for each level. So the work
+    for a vector grows as the 0.19th power of a label. Codes grow by five bits while a label grows by four, as a larger one
+    has more vectors that are not near but not far either: what a vector meets by chance then stays about the same."""
+    bits = level + 2 + level // 4
+    return Hashing(bits, math.ceil(1.3 * 1.112**bits))
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -42,6 +55,13 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _digits(bits: int, width: int) -> list[int]:
+    """Axes that each digit looks at: all for as many digits as the bits fill, and a power of two for the last one."""
+    whole = (2 * width).bit_length() - 1
+    full, rest = divmod(bits, whole)
+    return [width] * full + ([1 << (rest - 1)] if rest else [])
+
+
 def bucket_codes(vectors: np.ndarray, how: Hashing) -> np.ndarray:
     """(rows, tables, 1 + probes) long: each vector's own bucket in each table, then the probed ones.
 
@@ -52,76 +72,81 @@ def bucket_codes(vectors: np.ndarray, how: Hashing) -> np.ndarray:
     padded = np.zeros((rows, width))
     padded[:, :dim] = vectors
     at = np.arange(rows)
+    axes = _digits(how.bits, width)
     codes = np.empty((rows, how.tables, 1 + how.probes), np.int64)
-    signs = np.random.default_rng([how.seed, width]).integers(0, 2, (how.tables, how.hashes, 3, width)) * 2.0 - 1.0
+    signs = np.random.default_rng([how.seed, width]).integers(0, 2, (how.tables, len(axes), 3, width)) * 2.0 - 1.0
     for t in range(how.tables):
-        digits, seconds, margins = [], [], []
-        for k in range(how.hashes):
+        own, base, others, margins = np.zeros(rows, np.int64), 1, [], []
+        for k, few in enumerate(axes):
             x = padded
             for r in range(3):
                 x = _hadamard(x * signs[t, k, r])
-            size = np.abs(x)
-            nearest = np.argsort(-size, axis=1, kind="stable")[:, : 1 + how.probes]
-            axes = 2 * nearest + (x[at[:, None], nearest] < 0)
-            digits.append(axes[:, 0])
-            best = size[at[:, None], nearest]
-            seconds.append(axes[:, 1:])
-            margins.append((best[:, :1] - best[:, 1:]) / np.maximum(best[:, :1], 1e-300))
-        base = [(2 * width) ** k for k in range(how.hashes)]
-        own = sum(d * b for d, b in zip(digits, base, strict=True))
+            x = x[:, :few]
+            # Both ends of every axis, as a single one has an other end to probe.
+            ends = np.stack((x, -x), axis=2).reshape(rows, 2 * few)
+            nearest = np.argsort(-ends, axis=1, kind="stable")[:, : 1 + how.probes]
+            best = ends[at[:, None], nearest]
+            own += nearest[:, 0] * base
+            others.append((nearest[:, 1:] - nearest[:, :1]) * base)
+            margins.append(best[:, :1] - best[:, 1:])
+            base *= 2 * few
         codes[:, t, 0] = own
-        others = np.concatenate([own[:, None] + (s - d[:, None]) * b for s, d, b in zip(seconds, digits, base, strict=True)], axis=1)
-        nearest = np.argsort(np.concatenate(margins, axis=1), axis=1, kind="stable")[:, : how.probes]
-        codes[:, t, 1:] = others[at[:, None], nearest]
+        steps, margin = np.concatenate(others, axis=1), np.concatenate(margins, axis=1)
+        nearest = np.argsort(margin, axis=1, kind="stable")[:, : how.probes]
+        codes[:, t, 1 : 1 + nearest.shape[1]] = own[:, None] + steps[at[:, None], nearest]
+        codes[:, t, 1 + nearest.shape[1] :] = own[:, None]
     return codes
 
 
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def bucket_names(codes: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """64-bit names of buckets from codes and 64-bit names of what their vectors must share; equal names of different buckets
+    only make company that has no links."""
+    x = codes.astype(np.uint64) * np.uint64(64) + np.arange(codes.shape[1], dtype=np.uint64)[:, None]
+    x = (x ^ label.view(np.uint64)[:, None, None]) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For codes of pairs, (pairs, tables, probes + 1) each: table and bucket where they first meet, as (pairs, 2)."""
-    same = a[:, :, :, None] == b[:, :, None, :]
-    hit = same.any(axis=3)
-    table = hit.any(axis=2).argmax(axis=1)
-    at = np.arange(len(a))
-    code = np.where(hit[at, table], a[at, table], np.iinfo(np.int64).max).min(axis=1)
-    return np.stack((table, code), axis=1)
+    """For names of buckets of pairs, (pairs, tables, probes + 1) each: the bucket where they first meet, or the largest long."""
+    hit = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
+    table, at, none = hit.any(axis=2).argmax(axis=1), np.arange(len(a)), np.iinfo(np.int64).max
+    return np.where(hit[at, table], a[at, table], none).min(axis=1)
 
 
-def unit_links(vectors: np.ndarray, side: np.ndarray, count: np.ndarray, table: int, code: int, how: Hashing, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's unit: places of the rows with links counted here, how many vectors they link with, and a root each."""
+def unit_links(vectors: np.ndarray, side: np.ndarray, count: np.ndarray, label: np.ndarray, name: int, how: Hashing, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a unit of the bucket ``name``: places of the rows with links counted here, how many vectors they link with, and a root each."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
     n = len(side)
     links, root = np.zeros(n, np.int64), np.arange(n)
-    if not len(left) or not len(right):
-        return np.empty(0, np.int64), links[:0], root[:0]
-    pairs_i, pairs_j = [], []
-    for at in range(0, len(left), 512):
+    pairs_i, pairs_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(left), 512) if len(right) else ():
         i, j = np.nonzero(unit[left[at : at + 512]] @ unit[right].T >= cosine)
         i, j = left[at + i], right[j]
         if right is left:
             i, j = i[i < j], j[i < j]
+        i, j = i[label[i] == label[j]], j[label[i] == label[j]]
         if len(i):
             used, back = np.unique(np.concatenate((i, j)), return_inverse=True)
-            codes = bucket_codes(vectors[used], how)
+            names = bucket_names(bucket_codes(vectors[used], how), label[used])
             for p in range(0, len(i), 20_000):
                 s = slice(p, p + 20_000)
-                first = _first_meeting(codes[back[: len(i)][s]], codes[back[len(i) :][s]])
-                here = (first[:, 0] == table) & (first[:, 1] == code)
+                here = _first_meeting(names[back[: len(i)][s]], names[back[len(i) :][s]]) == name
                 pairs_i.append(i[s][here])
                 pairs_j.append(j[s][here])
-    if not pairs_i or not sum(map(len, pairs_i)):
-        return np.empty(0, np.int64), links[:0], root[:0]
     i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
     np.add.at(links, i, count[j])
     np.add.at(links, j, count[i])
     while True:  # smallest place by links, then by jumps
         low = np.minimum(root[i], root[j])
         new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
+        for at in (i, j, root[i], root[j]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if (new == root).all():
             break
@@ -136,55 +161,63 @@ def _comparable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, how: Hashing = Hashing(), key: str = "vec_id", label: str = "label", vector: str = "embedding", unit_size: int = 2048) -> DataFrame:
+def _matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors of one length in double precision, each over its largest component, so that squares neither overflow nor
+    vanish; cosines and buckets stay."""
+    chunks = lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).astype(np.float64).reshape(-1, dim)
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, key: str = "vec_id", label: str = "label", vector: str = "embedding", unit_size: int = 2048) -> DataFrame:
     """One row for each vector: key, n_links (other vectors with a link), component_id (smallest key reachable), kept.
 
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine, in double precision, is
     at least ``cosine``. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal
-    vectors all link; repeated rows are vectors of their own. Other columns are not read.
+    vectors all link; repeated rows are vectors of their own; an empty table gives an empty result. A vector of any length is
+    read whole. Other columns are not read.
     """
-    rows = embeddings.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_v"))
+    kind = embeddings.schema[vector].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = embeddings.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).cast(kind).alias("_v"))
     rows = rows.withColumn("_ok", _comparable("_v") & F.col("_label").isNotNull())
     rows = rows.withColumn("_same", F.when(F.col("_ok"), F.xxhash64("_label", "_v")))
     classes = rows.where("_ok").groupBy("_same", "_label", "_v").agg(F.min("_key").alias("least"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    alike = F.xxhash64("_label", F.size("_v"))  # what vectors must share besides a bucket
+    sizes = classes.groupBy(alike.alias("alike")).agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("level"))
+    leveled = cut(classes.select("cls", "n", alike.alias("alike"), "_v").join(sizes, "alike").select("cls", "n", "alike", "level", F.col("_v").alias("v")))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(t: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Places of the rows of each length and level, and these."""
+        dim, level = pc.list_value_length(t.column("v")).to_numpy(), t.column("level").to_numpy()
+        for d, lv in np.unique(np.stack((dim, level)), axis=1).T.tolist():
+            yield np.flatnonzero((dim == d) & (level == lv)), d, lv
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("_v")
-            lengths = np.diff(lists.offsets.to_numpy())
-            for dim in np.unique(lengths):
-                at = np.flatnonzero(lengths == dim)
+            for at, dim, level in each(b):
                 for s in range(0, len(at), 1024):
-                    part = pa.array(at[s : s + 1024])
-                    own = lists.take(part)
-                    x = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                    codes = bucket_codes(_scaled(x), how)
-                    m, (_, tables, each) = len(x), codes.shape
-                    take = pa.array(np.repeat(np.arange(m), tables * each))
-                    cols = [b.column(c).take(part).take(take) for c in ("cls", "n", "_label")]
-                    table = np.tile(np.repeat(np.arange(tables, dtype=np.int64), each), m)
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(take), dim, np.int64)), pa.array(table), pa.array(codes.reshape(-1)), own.take(take)], names=["cls", "n", "label", "dim", "tab", "code", "v"])
-
-    # Buckets need integer keys: labels of another type go by their 64-bit hash.
-    kind = rows.schema["_label"].dataType.simpleString()
-    whole = kind in ("tinyint", "smallint", "int", "bigint")
-    name = F.col("_label").cast("bigint") if whole else F.xxhash64("_label")
-    spread = classes.select("cls", "n", name.alias("_label"), "_v").mapInArrow(dealt, "cls bigint, n bigint, label bigint, dim bigint, tab bigint, code bigint, v array<double>")
-    by = ["label", "dim", "tab", "code"]
+                    part = b.take(pa.array(at[s : s + 1024]))
+                    names = bucket_names(bucket_codes(_matrix(part.column("v"), dim), hashing_for(level)), part.column("alike").to_numpy())
+                    names = names.reshape(len(names), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1)), pa.array(np.repeat(part.column("cls").to_numpy(), names.shape[1]))], names=["bucket", "cls"])
+
+    met = cut(shared(leveled.select("cls", "alike", "level", "v").mapInArrow(posted, "bucket bigint, cls bigint"), "bucket", "cls"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in units(batches, by):
-            dim, table, code = (t.column(c)[0].as_py() for c in by[1:])
-            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).reshape(-1, dim)
-            cls = t.column("cls").to_numpy()
-            at, links, root = unit_links(_scaled(x), t.column("side").to_numpy(), t.column("n").to_numpy(), table, code, how, cosine)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(links), pa.array(cls[root])], names=["cls", "links", "root"])
-
-    found = cut(cut_groups(spread, by, F.xxhash64("cls"), unit_size).mapInArrow(linked, "cls bigint, links bigint, root bigint"))
+        for t in units(batches, ["bucket"]):
+            for at, dim, level in each(t):  # one, unless two buckets have a name in common
+                part = t.take(pa.array(at))
+                cls, side, n, own = (part.column(c).to_numpy() for c in ("cls", "side", "n", "alike"))
+                at, links, root = unit_links(_matrix(part.column("v"), dim), side, n, own, part.column("bucket")[0].as_py(), hashing_for(level), cosine)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(links), pa.array(cls[root])], names=["cls", "links", "root"])
+
+    company = dealt(met.join(leveled, "cls"), "bucket", unit_size, large_groups(met, "bucket", unit_size))
+    found = cut(company.mapInArrow(linked, "cls bigint, links bigint, root bigint"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    roots = components(cut(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))))
+    roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     of = classes.select("_same", "_label", "_v", "cls", "least", "n").join(links, "cls", "left").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     of = of.withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -193,8 +226,3 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, how: Hashing =
     out = rows.select("_key", "_same", "_label", "_v").join(named, same, "left")
     component = F.when(F.col("_s").isNull(), F.col("_key")).otherwise(F.col("component_id"))
     return out.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"))
-
-
-def _scaled(x: np.ndarray) -> np.ndarray:
-    """Rows over their largest component, so that squares neither overflow nor vanish; cosines and buckets stay."""
-    return x / np.abs(x).max(axis=1, keepdims=True)

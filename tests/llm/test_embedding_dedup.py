@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from statefold.llm import embedding_dedup as E
 
@@ -59,22 +60,54 @@ def test_buckets_cut_into_parts_count_links_once(spark):
     same(E.near_duplicates(spark.createDataFrame(rows, SCHEMA), unit_size=7).collect(), brute(rows))
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(3000, 64))
+def pairs(dim, n, seed=1):
+    """Vectors and others at a cosine of just 0.93 to them."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.normal(size=a.shape)
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
-    c = 0.93 * a + math.sqrt(1 - 0.93**2) * b
-    x, y = E.bucket_codes(a, E.Hashing()), E.bucket_codes(c, E.Hashing())
-    assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() > 0.99
+    return a, 0.93 * a + math.sqrt(1 - 0.93**2) * b
+
+
+@pytest.mark.parametrize("dim", [8, 24, 64, 256])
+@pytest.mark.parametrize("level", [0, 4, 8, 12, 16, 20, 26])
+def test_recall_at_the_threshold(dim, level):
+    a, c = pairs(dim, 1000 if level < 20 else 300)
+    how = E.hashing_for(level)
+    x, y = E.bucket_codes(a, how), E.bucket_codes(c, how)
+    assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() > (0.985 if dim > 8 else 0.95)
+
+
+def test_company_by_chance_does_not_grow():
+    """Pairs of unrelated vectors that share a bucket, for each vector: about as many whatever a label holds."""
+    per_vector = []
+    for n in (500, 5_000, 50_000):
+        x = np.random.default_rng(n).normal(size=(n, 64))
+        how = E.hashing_for(math.ceil(math.log2(n)))
+        names = np.sort(E.bucket_names(E.bucket_codes(x, how), np.zeros(n, np.int64)).reshape(-1))
+        size = np.diff(np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True]))))
+        per_vector.append((size * (size - 1) // 2).sum() / n)
+    assert max(per_vector) < 6 and max(per_vector) < 3 * min(per_vector)
+
+
+def test_a_label_of_thousands(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(2_500, 32))
+    near = base + 0.2 * rng.normal(size=base.shape)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((base, near)).astype(np.float32))]
+    unit = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = [int((unit[s : s + 500] @ unit.T >= 0.93).sum()) - 500 for s in range(0, 5_000, 500)]
+    got = E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(want) > 4_000 and 0.98 * sum(want) <= sum(r.n_links for r in got) <= sum(want)
 
 
 def test_codes_do_not_depend_on_the_batch_and_ignore_scale():
-    x = np.random.default_rng(2).normal(size=(50, 24))
-    one = np.concatenate([E.bucket_codes(r[None], E.Hashing()) for r in x])
-    assert (E.bucket_codes(x, E.Hashing()) == one).all() and (E.bucket_codes(4 * x, E.Hashing()) == one).all()
+    x, how = np.random.default_rng(2).normal(size=(50, 24)), E.Hashing(17, 5)
+    one = np.concatenate([E.bucket_codes(r[None], how) for r in x])
+    assert (E.bucket_codes(x, how) == one).all() and (E.bucket_codes(4 * x, how) == one).all()
+    assert one.max() < 2**17 and one.min() >= 0
 
 
 def test_hadamard_is_orthogonal():
