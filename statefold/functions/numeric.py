@@ -67,20 +67,42 @@ def mlp_hidden(width: int) -> int:
     return -(-(8 * width // 3) // 64) * 64
 
 
+# Fixed value: white space as text functions take it, in the notation that Java and RE2 share.
+SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+
+
+def strip(s: Column) -> Column:
+    """Text without white space of any kind at both ends. The look-behind keeps long runs inside linear."""
+    return F.regexp_replace(s, rf"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+$", "")
+
+
 def parse_number(s: Column) -> Column:
-    """Double, or null where the text is not a number."""
-    return F.trim(s).try_cast("double")
+    """Double, or null where the text is not a number: digits with single underscores between them, a point, an exponent,
+    inf, infinity or nan in any case. Letters after digits, as for literals of a type, are not a number."""
+    clean = F.lower(strip(s))
+    unsigned = F.regexp_replace(clean, "^[+-]", "")
+    sign = F.when(clean.startswith("-"), -1.0).otherwise(1.0)
+    special = F.when(unsigned.isin("inf", "infinity"), sign * float("inf")).when(unsigned == "nan", float("nan"))
+    return F.when(clean.rlike(_NUMBER), F.replace(clean, F.lit("_"), F.lit("")).try_cast("double")).otherwise(special)
 
 
 def parse_hex(s: Column) -> Column:
-    """Bigint of hexadecimal digits with or without 0x, or null."""
-    digits = F.regexp_replace(F.lower(F.trim(s)), "^0x", "")
-    return F.when(digits.rlike("^[0-9a-f]{1,15}$") | digits.rlike("^0+[0-9a-f]{1,15}$"), F.conv(digits, 16, 10).cast("bigint"))
+    """The low 64 bits, as a bigint, of hexadecimal digits with or without sign and 0x, single underscores between digits; or null."""
+    clean = F.lower(strip(s))
+    fits = clean.rlike("^[+-]?(?:0x_?)?[0-9a-f]+(?:_[0-9a-f]+)*$")
+    digits = F.replace(F.regexp_replace(clean, "^[+-]?(?:0x)?", ""), F.lit("_"), F.lit(""))
+    low = F.right(F.concat(F.lit("0" * 16), digits), F.lit(16))
+    half = lambda at: F.conv(F.substring(low, at, 8), 16, 10).cast("bigint")
+    value = F.shiftleft(half(1), 32).bitwiseOR(half(9))
+    # The negative as a complement: there is no overflow for the smallest.
+    return F.when(fits, F.when(clean.startswith("-") & (value != F.lit(-(2**63))), -value).otherwise(value))
 
 
 def parse_timestamp(s: Column) -> Column:
     """yyyy/MM/dd HH:mm:ss with one to six digits of a second, in the session's time zone, or null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(s), F.lit(f"yyyy/MM/dd HH:mm:ss.{'S' * n}")) for n in range(1, 7)])
+    return F.coalesce(*[F.try_to_timestamp(strip(s), F.lit(f"yyyy/MM/dd HH:mm:ss.{'S' * n}")) for n in range(1, 7)])
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

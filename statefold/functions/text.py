@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numeric import strip
+
 # Languages that have a Unicode block of their own, in the order that decides ties, and the other ones.
 SCRIPT_RANGES = (("kan", 0x0C80, 0x0CFF), ("tam", 0x0B80, 0x0BFF), ("tel", 0x0C00, 0x0C7F), ("mal", 0x0D00, 0x0D7F))
 DEFAULT_LANGUAGE = "eng"
@@ -25,6 +27,7 @@ LEAK_PATTERNS = (
 )
 BINARY_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".woff", ".woff2", ".ttf")
 MAX_SCAN_BYTES = 8 * 1024 * 1024
+PRIVATE_PREFIXES = ("private/", ".claude/")
 
 
 def script_counts(text: Column) -> dict[str, Column]:
@@ -63,17 +66,19 @@ def cut_at_stops(text: Column, stops: Sequence[str]) -> Column:
 
 def split_list(text: Column, by: str = ",") -> Column:
     """Parts of a list without white space around them and without empty ones."""
-    return F.filter(F.transform(F.split(text, by), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, by), strip), lambda x: x != "")
 
 
 def parse_command(line: Column) -> tuple[Column, Column, Column]:
     """(command, argument, message) of an input line: /lang code, /auto, /new, /code text, or a message.
 
-    The command is 'message', 'lang', 'auto', 'new', 'once' (one message in a language, the argument) or 'unknown'.
+    The command is 'message', 'lang', 'auto', 'new', 'once' (one message in a language, the argument) or 'unknown'. White
+    space of any kind is cut at both ends; only a space ends the command's word.
     """
-    clean = F.trim(line)
-    word = F.regexp_extract(clean, r"^/(\S*)", 1)
-    rest = F.trim(F.regexp_extract(clean, r"^/\S* (.*)$", 1))
+    clean = strip(line)
+    body = F.substring(clean, 2, 2**31 - 1)
+    word = F.substring_index(body, " ", 1)
+    rest = strip(F.substring(body, F.length(word) + 2, F.length(body)))
     is_lang = (word == "lang") & rest.isin(*LANGUAGES, "auto")
     is_once = word.isin(*LANGUAGES) & (rest != "")
     command = F.when(~clean.startswith("/"), "message").when(is_lang, "lang").when(word.isin("auto", "new"), word).when(is_once, "once").otherwise("unknown")
@@ -109,7 +114,7 @@ def word_pattern(words: Sequence[str]) -> str | None:
     return r"(?i)\b(" + "|".join(quoted) + r")\b" if quoted else None
 
 
-def scan_lines(files: DataFrame, path: str, text: str, words: Sequence[str] = (), private: Sequence[str] = ("private/",)) -> DataFrame:
+def scan_lines(files: DataFrame, path: str, text: str, words: Sequence[str] = (), private: Sequence[str] = PRIVATE_PREFIXES) -> DataFrame:
     """(path, line, label, excerpt) of every line and pattern that matches, and of every file with a private prefix.
 
     Binary suffixes and files over 8 MiB are passed over. Patterns are a few literals, so a line meets them in one
@@ -124,5 +129,5 @@ def scan_lines(files: DataFrame, path: str, text: str, words: Sequence[str] = ()
     flagged = files.where(hidden).select(name.alias("path"), F.lit(0).alias("line"), F.lit("private file").alias("label"), F.lit("").alias("excerpt"))
     lines = files.where(~hidden & ~binary & (F.octet_length(text) <= MAX_SCAN_BYTES)).select(name.alias("path"), F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")).alias("line", "_text"))
     hits = F.filter(F.array(*[F.when(F.col("_text").rlike(p), F.lit(label)) for label, p in patterns]), lambda x: x.isNotNull())
-    found = lines.select("path", (F.col("line") + 1).alias("line"), F.explode(hits).alias("label"), F.left(F.trim("_text"), F.lit(120)).alias("excerpt"))
+    found = lines.select("path", (F.col("line") + 1).alias("line"), F.explode(hits).alias("label"), F.left(strip(F.col("_text")), F.lit(120)).alias("excerpt"))
     return flagged.unionByName(found)

@@ -23,6 +23,33 @@ def paired_reads(df: DataFrame, seq: str, value: str = "v") -> DataFrame:
     return pairs.groupBy(seq, "doc", "t").agg(F.sum(F.exp(F.col("_pa") - F.col("_pb")) * dot(F.col("q"), F.col("k")) * F.col("_v")).alias("y"))
 
 
+def delta_reads(df: DataFrame, seq: str) -> DataFrame:
+    """(seq, doc, t, y array): reads of a state that writes only what it does not predict yet,
+    S_t = exp(la_t) S_{t-1} + k_t beta_t (v_t - exp(la_t) k_t S_{t-1})'. Rows have q, k, v (arrays), la and beta.
+
+    A write depends on the state before it, so rows go one by one; what is carried is one matrix, whatever the length.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            out = []
+            for s, d, q, k, v, la, beta in zip(*[b.column(c).to_pylist() for c in (seq, "doc", "q", "k", "v", "la", "beta")], strict=True):
+                k, v = np.array(k), np.array(v)
+                if (s, d) != key:
+                    key, state = (s, d), np.zeros((len(k), len(v)))
+                state *= np.exp(la)
+                state += np.outer(k, beta * (v - k @ state))
+                out.append(np.array(q) @ state)
+            yield pa.RecordBatch.from_arrays([b.column(seq), b.column("doc"), b.column("t"), pa.array(out, pa.list_(pa.float64()))], names=[seq, "doc", "t", "y"])
+
+    kind = df.schema[seq].dataType.simpleString()
+    rows = df.select(seq, F.col("doc").cast("bigint"), F.col("t").cast("bigint"), *[F.col(c).cast("array<double>") for c in "qkv"], *[F.col(c).cast("double") for c in ("la", "beta")])
+    return rows.repartition(seq).sortWithinPartitions(seq, "doc", "t").mapInArrow(scan, f"`{seq}` {kind}, doc bigint, t bigint, y array<double>")
+
+
 def scanned_reads(df: DataFrame, seq: str, chunk: int = 64) -> DataFrame:
     """(seq, doc, t, y array): reads of the matrix state S_t = exp(la_t) S_{t-1} + k_t v_t', with array values.
 

@@ -50,6 +50,13 @@ def probabilities(df: DataFrame, group: str, temperature: float = 1.0, k: int |
     return p.drop("_s", "_e")
 
 
+def penalised(df: DataFrame, recent: str, penalty: float, token: str = "tok", score: str = "score") -> DataFrame:
+    """df with the scores of tokens in the array ``recent`` made worse: positive ones divided by the penalty, others times it."""
+    s = F.col(score)
+    worse = F.when(s > 0, s / penalty).otherwise(s * penalty)
+    return df.withColumn(score, F.when(F.coalesce(F.array_contains(recent, F.col(token)), F.lit(False)), worse).otherwise(s))
+
+
 def draw(p: DataFrame, group: str, token: str = "tok", probability: str = "p", seed: int = 0) -> DataFrame:
     """One row of each group with the given probabilities: the largest of log p - log(-log u), u from a hash of the row."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col(token)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

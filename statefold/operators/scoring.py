@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 def continuation_scores(steps: DataFrame, request: str, best: str = "best", token: str = "tok", logp: str = "logp") -> DataFrame:
     """(request, logprob, greedy): the sum over a continuation's tokens, and whether each was the best choice."""
@@ -33,10 +37,10 @@ def bits_per_byte(df: DataFrame, group: str, logp: str, size: str) -> DataFrame:
     return df.groupBy(group).agg((-F.sum(logp) / F.log(F.lit(2.0)) / F.sum(size)).alias("bits_per_byte"), (F.sum("n") / F.sum(size)).alias("tokens_per_byte"))
 
 
-def weighted_cross_entropy(df: DataFrame, logp: str, target: str, end: int, end_weight: float, ignore: int = -100) -> DataFrame:
-    """(loss): weighted mean of -logp; end tokens have a weight of their own, ignored targets none."""
+def weighted_cross_entropy(df: DataFrame, logp: str, target: str, end: int, end_weight: float, ignore: int = -100, by: Sequence[str] = ()) -> DataFrame:
+    """(by, loss): weighted mean of -logp; end tokens have a weight of their own, ignored targets none."""
     weight = F.when(F.col(target) == ignore, 0.0).when(F.col(target) == end, float(end_weight)).otherwise(1.0)
-    return df.agg((-F.sum(weight * F.col(logp)) / F.sum(weight)).alias("loss"))
+    return df.groupBy(*by).agg((-F.sum(weight * F.col(logp)) / F.sum(weight)).alias("loss"))
 
 
 def truncated_pairs(df: DataFrame, max_length: int, context: str = "context", continuation: str = "continuation") -> DataFrame:
@@ -64,10 +68,20 @@ def request_order(df: DataFrame, request: str) -> DataFrame:
     return df.orderBy(request)
 
 
-def batches(df: DataFrame, size: int, order: str) -> DataFrame:
-    """df with batch: rows by falling order, ``size`` to a batch, numbered within partitions of the longest first."""
-    ranged = df.repartitionByRange(F.desc(order)).sortWithinPartitions(F.desc(order))
-    return ranged.withColumn("batch", F.floor(F.monotonically_increasing_id() / size).cast("bigint"))
+def batches(df: DataFrame, size: int, order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """df with batch: rows by falling order (ties by their columns), ``size`` to a batch, numbered from 0 without gaps.
+
+    Rows are dealt into ranges of the order and numbered there; ranges begin where those before them end, by one count each.
+    """
+    by = [F.desc(order), *ties]
+    ranged = settled(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn("batch", F.floor(place / size).cast("bigint")).select(*df.columns, "batch")
 
 
 def previous(df: DataFrame, seq: str, column: str, out: str) -> DataFrame:

@@ -38,7 +38,7 @@ def next_samples(timed: DataFrame, by: list[str]) -> DataFrame:
     firsts = timed.withColumn("_hour", hour).groupBy("_hour").agg(F.min(F.struct("_t", *_ties(timed), "watts")).alias("_first"))
     over_hours = Window.orderBy("_hour")  # one row an hour
     following = firsts.select("_hour", F.lead("_first._t").over(over_hours).alias("_hour_t"), F.lead("_first.watts").over(over_hours).alias("_hour_watts"))
-    joined = inner.join(following, "_hour")
+    joined = inner.join(following, "_hour", "left")  # samples without a time have no hour, and count
     return joined.withColumns({"_next_t": F.when(F.col("_is_last"), F.col("_hour_t")).otherwise(F.col("_lead_t")), "_next_watts": F.when(F.col("_is_last"), F.col("_hour_watts")).otherwise(F.col("_lead_watts"))}).drop("_hour", "_lead_t", "_lead_watts", "_is_last", "_hour_t", "_hour_watts")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .generate import Session, rolling_score, score_pair
+from .generate import StopWatch, generate_many, rolling_score, score_pair
 from .model import Model, Shape, fresh_weights, perturbed
 
 TINY = Shape(vocab=97, layers=3, heads=4, width=32, chunk=8, context=4096)
@@ -51,12 +51,37 @@ def loglikelihood_rolling(texts: DataFrame, weights: dict[str, np.ndarray], key:
     return _mapped(texts, weights, [ids], key, "logprob double", [pa.float64()], ["logprob"], lambda m, t: (rolling_score(m, t or [], size),), options)
 
 
-def generate(prompts: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str, limit: int = 16, no_repeat: int = 0, **options) -> DataFrame:
+_HELD = 1 << 26  # bytes of states that are stepped together
+
+
+def _in_step(df: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str, out: pa.DataType, name: str, reply, options: dict) -> DataFrame:
+    """(key, name): reply(model, prompts) of each batch, for as many prompts at once as their states may take."""
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shared.value, **options)
+        at_once = max(1, _HELD // Model.state_bytes(model.empty(), 8))
+        for b in batches:
+            for at in range(0, b.num_rows, at_once):
+                part = b.slice(at, at_once)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(reply(model, [p or [] for p in part.column(ids).to_pylist()]), out)], names=[key, name])
+
+    kind = df.schema[key].dataType.simpleString()
+    sql = "string" if out == pa.string() else "array<int>"
+    return df.select(key, ids).repartition(key).mapInArrow(apply, f"`{key}` {kind}, {name} {sql}")
+
+
+def generate(prompts: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str, limit: int = 16, no_repeat: int = 0, penalty: float = 1.0, **options) -> DataFrame:
     """(key, reply array<int>): greedy continuations; a null or empty prompt begins after an end token."""
+    return _in_step(prompts, weights, key, ids, pa.list_(pa.int32()), "reply", lambda m, p: generate_many(m, p, limit, no_repeat=no_repeat, penalty=penalty), options)
+
+
+def generate_until(prompts: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str, limit: int, decode: Callable[[list[int]], str], until: Sequence[str] = (), sampling: dict | None = None, **options) -> DataFrame:
+    """(key, text): decoded continuations up to the first of the stop strings. A prompt keeps its last context - limit ids."""
 
-    def reply(m: Model, t: list[int] | None) -> tuple[list[int]]:
-        session = Session(m)
-        session.feed(t or [m.shape.end])
-        return (session.generate(limit, no_repeat=no_repeat),)
+    def reply(m: Model, texts: list[list[int]]) -> list[str]:
+        watches = [StopWatch(decode, until) for _ in texts]
+        generate_many(m, [t[-max(m.shape.context - limit, 1) :] for t in texts], limit, watches=watches, **(sampling or {}))
+        return [w.text for w in watches]
 
-    return _mapped(prompts, weights, [ids], key, "reply array<int>", [pa.list_(pa.int32())], ["reply"], reply, options)
+    return _in_step(prompts, weights, key, ids, pa.string(), "text", reply, options)

@@ -182,6 +182,25 @@ class Model:
             x = x + self.w[f"blocks.{i}.mlp.w2.weight"] @ (_silu(self.w[f"blocks.{i}.mlp.w1.weight"] @ h) * (self.w[f"blocks.{i}.mlp.w3.weight"] @ h))
         return self.w["tok_emb.weight"] @ _rms(x, self.w["ln_f.weight"]), out
 
+    def step_many(self, tokens: np.ndarray, states: list[LayerState], after_end: np.ndarray) -> tuple[np.ndarray, list[LayerState]]:
+        """``step`` for several sequences at once: tokens (rows,), states with a leading axis of rows; scores (rows, vocab)."""
+        x, first, out, goes_on = self.w["tok_emb.weight"][tokens], None, [], ~np.asarray(after_end, bool)
+        for i, (memory, conv, prev) in enumerate(states):
+            a = f"blocks.{i}.attn."
+            memory, conv, prev = memory * goes_on[:, None, None, None], conv * goes_on[:, None, None], prev * goes_on[:, None]
+            h = _rms(x, self.w[f"blocks.{i}.ln1.weight"])
+            control = self.w[a + "mu"] * h + (1 - self.w[a + "mu"]) * prev
+            window = np.concatenate((conv, (h @ self.w[a + "qkv.weight"].T)[:, None]), axis=1)
+            u = (window * self.w[a + "conv_weight"][:, 0].T).sum(axis=1) + self.w[a + "conv_bias"]
+            q, k, v, first = self._heads(i, u, first)
+            beta, log_alpha = self._gates(a, control)
+            memory = np.exp(log_alpha)[..., None, None] * memory + beta[..., None, None] * k[..., :, None] * v[..., None, :]
+            x = x + self._emit(a, (q[..., None, :] @ memory)[..., 0, :], control)
+            out.append(LayerState(memory, window[:, 1:], h))
+            h = _rms(x, self.w[f"blocks.{i}.ln2.weight"])
+            x = x + (_silu(h @ self.w[f"blocks.{i}.mlp.w1.weight"].T) * (h @ self.w[f"blocks.{i}.mlp.w3.weight"].T)) @ self.w[f"blocks.{i}.mlp.w2.weight"].T
+        return _rms(x, self.w["ln_f.weight"]) @ self.w["tok_emb.weight"].T, out
+
     def _heads(self, layer: int, u: np.ndarray, first: np.ndarray | None):
         s = self.shape
         q, k, v = np.moveaxis(_silu(u).reshape(len(u), 3, s.heads, s.dim), 1, 0)

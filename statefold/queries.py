@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numeric, text
-from .operators import decay, memory, ranking, recall, scoring, segments, splits, telemetry
+from .functions.numeric import SPACE
+from .operators import corpus, decay, memory, ranking, recall, scoring, segments, splits, telemetry
 from .plans import lm
 from .plans.model import decay_biases
+from .sources import extract, results, telemetry_csv
+from .sources.scratch import scratch
 
 BLOCK = 8  # one event in five ends a document, so short blocks are needed for states to be carried between them
 
@@ -291,7 +294,7 @@ def q28_recall_choice(spark, sf_dir):
 
 
 _LEAK_SQL = " UNION ALL ".join(
-    f"SELECT path, line, '{label}' AS label, left(trim(l), 120) AS excerpt FROM x WHERE regexp_matches(l, '{pattern}')"
+    f"SELECT path, line, '{label}' AS label, left(regexp_replace(l, '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), 120) AS excerpt FROM x WHERE regexp_matches(l, '{pattern}')"
     for label, pattern in (("windows path", r"(^|[^A-Za-z])[A-Za-z]:\\{1,2}[A-Za-z_.]"), ("file url", "(?i)file:///"), ("user home", r"(?i)[\\/]Users[\\/][^\\/\s]+"), ("personal mail", r"(?i)[A-Za-z0-9._%+-]+@(gmail|outlook|hotmail|yahoo|proton)\."), ("blocked name", r"(?i)\b(thend|licensed)\b"))
 )
 
@@ -422,22 +425,45 @@ def q42_norms(spark, sf_dir):
     return e.select("vec_id", _r(numeric.l2_normalised(F.col("embedding"))[0]).alias("unit_1"), _r(numeric.rms_normalised(F.col("embedding"), [0.5] * 64)[0]).alias("rms_1"), _r(numeric.silu(first)).alias("silu_1"))
 
 
-_LINES = ("/lang kan", "/lang xyz", "/auto", "/new", "/kan namaste", "/kan", "/foo bar", "  hello there ", "/lang auto", "/eng  two  words ")
+_LINES = ("/lang kan", "/lang xyz", "/auto", "/new", "/kan namaste", "/kan", "/foo bar", "  hello there ", "/lang auto", "/eng  two  words ", "\t/lang\tkan", "\t/lang kan", "/new\tx", "/new x", "/", "\u3000/auto\u00a0", "/kan \t", "\x1c/tam \u0ba4 \x85", "//new")
+_CODES = ", ".join(f"'{x}'" for x in text.LANGUAGES)
 
 
-@_query("""SELECT * FROM (VALUES ('/lang kan', 'lang', 'kan', NULL), ('/lang xyz', 'unknown', NULL, NULL), ('/auto', 'auto', NULL, NULL), ('/new', 'new', NULL, NULL), ('/kan namaste', 'once', 'kan', 'namaste'), ('/kan', 'unknown', NULL, NULL),
-('/foo bar', 'unknown', NULL, NULL), ('  hello there ', 'message', NULL, 'hello there'), ('/lang auto', 'lang', 'auto', NULL), ('/eng  two  words ', 'once', 'eng', 'two  words')) t(line, command, argument, message)""")
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+
+
+def _sql_text(x: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in x) or "''"
+
+
+@_query(f"""WITH l AS (SELECT unnest([{", ".join(map(_sql_text, _LINES))}]) AS line UNION ALL SELECT '/' || CASE conv_id % 5 WHEN 0 THEN 'lang' WHEN 1 THEN 'new' WHEN 2 THEN 'kan' WHEN 3 THEN 'say' ELSE '' END || ' ' || text FROM conversations),
+c AS (SELECT line, {_stripped("line")} AS c FROM l), s AS (SELECT line, c, c LIKE '/%' AS cmd, split_part(substr(c, 2), ' ', 1) AS w FROM c), r AS (SELECT *, {_stripped("substr(c, length(w) + 3)")} AS rest FROM s),
+k AS (SELECT *, CASE WHEN NOT cmd THEN 'message' WHEN w = 'lang' AND rest IN ({_CODES}, 'auto') THEN 'lang' WHEN w IN ('auto', 'new') THEN w WHEN w IN ({_CODES}) AND rest <> '' THEN 'once' ELSE 'unknown' END AS command FROM r)
+SELECT line, command, CASE command WHEN 'lang' THEN rest WHEN 'once' THEN w END AS argument, CASE command WHEN 'message' THEN c WHEN 'once' THEN rest END AS message FROM k""")
 def q43_commands(spark, sf_dir):
     lines = spark.createDataFrame([(x,) for x in _LINES], "line string")
+    first = F.element_at(F.array(*map(F.lit, ("lang", "new", "kan", "say", ""))), (F.col("conv_id") % 5 + 1).cast("int"))
+    typed = _table(spark, sf_dir, "conversations").select(F.concat(F.lit("/"), first, F.lit(" "), "text").alias("line"))
     command, argument, message = text.parse_command(F.col("line"))
-    return lines.select("line", command.alias("command"), argument.alias("argument"), message.alias("message"))
+    return lines.unionAll(typed).select("line", command.alias("command"), argument.alias("argument"), message.alias("message"))
 
 
-@_query("""WITH s AS (SELECT event_id, lower(hex(event_id)) AS h FROM events) SELECT event_id, event_id AS back, event_id AS plain, NULL::BIGINT AS bad, event_id::DOUBLE / 8 AS number FROM s""")
+@_query("""SELECT event_id, event_id AS back, event_id AS plain, NULL::BIGINT AS bad, event_id - 9223372036854775807 - 1 AS high, -event_id AS negative, event_id::DOUBLE / 8 AS number, NULL::DOUBLE AS typed, (event_id || '000')::DOUBLE AS grouped FROM events""")
 def q44_parsers(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("event_id")
-    digits = F.lower(F.hex("event_id"))
-    return e.select("event_id", numeric.parse_hex(F.concat(F.lit("0x0000000000000000"), digits)).alias("back"), numeric.parse_hex(digits).alias("plain"), numeric.parse_hex(F.concat(digits, F.lit("zz"))).alias("bad"), numeric.parse_number((F.col("event_id") / 8).cast("string")).alias("number"))
+    digits, number = F.lower(F.hex("event_id")), F.col("event_id").cast("string")
+    return e.select(
+        "event_id",
+        numeric.parse_hex(F.concat(F.lit("0x0000000000000000"), digits)).alias("back"),
+        numeric.parse_hex(F.concat(F.lit("\t"), digits, F.lit(" "))).alias("plain"),
+        numeric.parse_hex(F.concat(digits, F.lit("zz"))).alias("bad"),
+        numeric.parse_hex(F.concat(F.lit("0X8"), F.lpad(digits, 15, "0"))).alias("high"),
+        numeric.parse_hex(F.concat(F.lit("-0x"), digits)).alias("negative"),
+        numeric.parse_number((F.col("event_id") / 8).cast("string")).alias("number"),
+        numeric.parse_number(F.concat(number, F.lit("d"))).alias("typed"),
+        numeric.parse_number(F.concat(F.lit(" +"), number, F.lit("_000 "))).alias("grouped"),
+    )
 
 
 @_query("""WITH s AS (SELECT lang, ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % 10 AS split FROM documents)
@@ -447,11 +473,16 @@ def q45_split_balance(spark, sf_dir):
     return splits.split_balance(d, "split", "lang").withColumn("share", _r(F.col("share")))
 
 
-@_query("""WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next, turn % 2 = 1 AS odd FROM conversations)
-SELECT role, count(*) AS n, 1.0::DOUBLE AS script_ok, round(avg(odd::INT), 6) AS loop_rate, round(avg((text = coalesce(next, text))::INT), 6) AS exact FROM c GROUP BY role""")
+@_query(f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT doc_id, 0, 'probe', text FROM ({_SCRIPT_SQL}) p(doc_id, text)),
+n AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next, string_split(text, ' ') AS w FROM c), g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g, {_COUNT_SQL} FROM n)
+SELECT role, count(*) AS n, round(avg((greatest(kan, tam, tel, mal) = 0)::INT), 6) AS script_ok, round(avg((len(g) > len(list_distinct(g)))::INT), 6) AS loop_rate, round(avg((text = coalesce(next, text))::INT), 6) AS exact FROM g GROUP BY role""")
 def q46_reply_rates(spark, sf_dir):
+    """Replies that say a run of three words twice, and, among the probes, some in other scripts."""
+    probes = spark.createDataFrame([(i, 0, "probe", s) for s, i in _SCRIPTS], "conv_id bigint, turn bigint, role string, text string")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = _table(spark, sf_dir, "conversations").select("role", "text", F.coalesce(F.lead("text").over(w), F.col("text")).alias("want"), F.lit("eng").alias("lang"), (F.col("turn") % 2 == 1).alias("looped"))
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probes).withColumn("w", F.split("text", " ", -1))
+    grams = F.when(F.size("w") >= 3, F.expr("transform(sequence(1, size(w) - 2), i -> array_join(slice(w, i, 3), ' '))")).otherwise(F.array().cast("array<string>"))
+    c = c.withColumn("g", grams).select("role", "text", F.coalesce(F.lead("text").over(w), F.col("text")).alias("want"), F.lit("eng").alias("lang"), (F.size("g") > F.size(F.array_distinct("g"))).alias("looped"))
     return _rounded(splits.reply_rates(c, "role", "text", "lang", "want", "looped"), "script_ok", "loop_rate", "exact")
 
 
@@ -459,3 +490,138 @@ def q46_reply_rates(spark, sf_dir):
 def q47_average_weights(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("checkpoint"), F.col("label").cast("string").alias("name"), (F.col("vec_id") % 16).alias("i"), F.col("embedding")[0].cast("double").alias("value"))
     return splits.average_weights(e).withColumn("value", _r(F.col("value")))
+
+
+@_query()
+def q48_whole_packing(spark, sf_dir):
+    """Whole conversations in containers of 512 words, first fit, longest first: what of each is learned, prompt and padding."""
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "role", F.size(corpus.words(F.col("text"))).cast("bigint").alias("n"))
+    items = c.groupBy("conv_id").agg((F.sum("n") + 1).alias("length"), (F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)) + 1).alias("learned"))
+    packed = corpus.packed_whole(items, "conv_id", capacity=512)
+    return packed.groupBy("container").agg(F.count("*").alias("n"), F.sum("length").alias("used"), F.sum("learned").alias("learned"), (F.lit(512) - F.sum("learned")).alias("ignored"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' ')))"
+
+
+@_query(f"""WITH b AS (SELECT DISTINCT unnest({_GRAMS}) AS g FROM (SELECT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents))
+SELECT doc_id, count(*) AS n_grams FROM d JOIN b USING (g) GROUP BY doc_id""")
+def q49_contaminated(spark, sf_dir):
+    return corpus.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", 8)
+
+
+_TIER_SQL = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{pattern}') THEN '{tier}'" for tier, pattern in corpus.LICENCE_PATTERNS) + " ELSE 'unlicensed' END"
+_RULE_SQL = "CASE tier " + " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in corpus.TIERS.items()) + " END"
+
+
+@_query(f"""WITH d AS (SELECT source, length(coalesce(text, '')) AS c, {_TIER_SQL} AS tier, regexp_extract(source, '[0-9]+')::INT AS k FROM documents),
+r AS (SELECT *, CASE WHEN {_RULE_SQL} <> 'case' THEN {_RULE_SQL} WHEN k % 2 = 1 THEN 'undecided' WHEN k % 4 = 0 THEN 'accepted' ELSE 'refused' END AS reason FROM d)
+SELECT source, tier, reason, reason IN ('used', 'accepted') AS admitted, count(*) AS n, sum(c)::BIGINT AS chars FROM r GROUP BY ALL""")
+def q50_licence_ledger(spark, sf_dir):
+    """Every other source has a decision, and every fourth is accepted."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    k = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    decisions = docs.select("source").distinct().where(k % 2 == 0).select("source", (k % 4 == 0).alias("accepted"))
+    return corpus.ledger(corpus.admitted(docs, decisions))
+
+
+@_query("""WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), c AS (SELECT doc_id, unnest(range(0, (len(w) - 1) // 64 + 1)) AS chunk, w FROM p WHERE len(w) > 0),
+k AS (SELECT doc_id, chunk, w[chunk * 64 + 1 : chunk * 64 + 64] AS t FROM c), z AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM k),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM benchmark), u AS (SELECT doc_id, chunk, len(t) AS l, unnest(t) AS t FROM k),
+tf AS (SELECT doc_id, chunk, l, t, count(*) AS tf FROM u WHERE t IN (SELECT t FROM q) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT item_id, doc_id, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM q JOIN tf USING (t) JOIN df USING (t), z GROUP BY ALL)
+SELECT item_id, doc_id, chunk::INTEGER AS chunk, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk) AS rank FROM s) WHERE rank <= 3""")
+def q51_bm25(spark, sf_dir):
+    passages = corpus.chunks(_table(spark, sf_dir, "documents"), "doc_id", 64)
+    items = _table(spark, sf_dir, "benchmark").select("item_id", corpus.words(F.col("text")).alias("tokens"))
+    return corpus.bm25(items, passages, "item_id", ["doc_id", "chunk"], 3)
+
+
+@_query()
+def q52_page_text(spark, sf_dir):
+    """What a reader of each page sees."""
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", extract.extracted(F.col("html"), F.lit("html")).alias("text"))
+
+
+@_query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE lang = 'fr') AS f FROM documents WHERE lang IS NOT NULL), r AS (SELECT CASE WHEN f >= 0.4 * n THEN 1 ELSE (f / 0.4 - f) / (n - f) END AS r FROM c),
+d AS (SELECT lang, ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT / 4294967296.0 AS u FROM documents WHERE lang IS NOT NULL) SELECT lang, count(*) AS n FROM d, r WHERE lang = 'fr' OR u < r GROUP BY lang""")
+def q53_mixture_floor(spark, sf_dir):
+    """Documents thinned until two in five are French."""
+    return corpus.with_mixture_floor(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", {"fr": 0.4}).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH e AS (SELECT user_id, event_id, event_type AS tok, value - 50 AS s, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent FROM events)
+SELECT event_id, round(CASE WHEN coalesce(list_contains(recent, tok), false) THEN CASE WHEN s > 0 THEN s / 1.16::DOUBLE ELSE s * 1.16::DOUBLE END ELSE s END, 6) AS score FROM e""")
+def q54_ring_penalty(spark, sf_dir):
+    """Events as candidates, made worse if one of the user's last three was of the same type."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, -1)
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("tok"), (F.col("value") - 50).alias("score"), F.collect_list("event_type").over(w).alias("recent"))
+    return ranking.penalised(e, "recent", 1.16).select("event_id", _r(F.col("score")).alias("score"))
+
+
+@_query(f"""WITH {_SEG}, p AS (SELECT *, sum(la + ln(0.5::DOUBLE)) OVER (PARTITION BY user_id, doc ORDER BY t) AS p FROM seg)
+SELECT a.event_id, round(sum(0.5 * b.value * exp(a.p - b.p)), 6) AS y FROM p a JOIN p b ON a.user_id = b.user_id AND a.doc = b.doc AND b.t <= a.t GROUP BY ALL""")
+def q55_delta_memory(spark, sf_dir):
+    """With one key a write of what is not predicted yet is a decay by half the rest."""
+    one = F.array(F.lit(1.0))
+    e = _events(spark, sf_dir).select("event_id", "user_id", "doc", "t", "la", F.lit(0.5).alias("beta"), one.alias("q"), one.alias("k"), F.array("value").alias("v"))
+    reads = memory.delta_reads(e, "user_id").select("user_id", "doc", "t", F.col("y")[0].alias("y"))
+    return e.select("event_id", "user_id", "doc", "t").join(reads, ["user_id", "doc", "t"]).select("event_id", _r(F.col("y")).alias("y"))
+
+
+_LOG_HEADS = ("timestamp, power.draw [W], temperature.gpu, clocks_event_reasons.active", "timestamp, clocks_throttle_reasons.active, name, power.draw [W], temperature.gpu")
+
+
+@_query("""SELECT ('f' || user_id % 4) AS device, epoch_us(ts) AS us, CASE WHEN event_type <> 'view' THEN value END AS watts, value / 2 AS celsius, (props->>'$.k')::BIGINT AS reasons FROM events WHERE event_id % 7 <> 0""")
+def q56_telemetry_log(spark, sf_dir):
+    """Events written as four logs, of two layouts, and read back: unknown powers, quoted commas, cut-off lines and second headers."""
+    e = _samples(spark, sf_dir).withColumn("device", F.concat(F.lit("f"), F.col("user_id") % 4))
+    ts, watts = F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSSSSS"), F.coalesce(F.col("watts").cast("string"), F.lit("[N/A]"))
+    mask = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("reasons")), 16, "0"))
+    even = F.concat_ws(", ", ts, watts, F.col("celsius").cast("string"), mask)
+    odd = F.concat_ws(", ", ts, mask, F.lit('"card, of two"'), watts, F.col("celsius").cast("string"))
+    is_even = F.col("device").isin("f0", "f2")
+    line = F.when(F.col("event_id") % 7 == 0, F.left(F.when(is_even, even).otherwise(odd), F.lit(20))).otherwise(F.when(is_even, even).otherwise(odd))
+    heads = spark.createDataFrame([(f"f{i}", k, _LOG_HEADS[i % 2]) for i in range(4) for k in (-1, 50)], "device string, event_id bigint, value string")
+    rows = e.select("device", "event_id", line.alias("value")).unionByName(heads)
+    folder = scratch(spark, "logs")
+    rows.repartition("device").sortWithinPartitions("device", "event_id").select("device", "value").write.partitionBy("device").text(folder)
+    read = telemetry_csv.read_log(spark, [f"{folder}/device=f{i}" for i in range(4)], "path")
+    return read.select(F.regexp_extract("path", "device=(f[0-9])", 1).alias("device"), F.unix_micros("ts").alias("us"), "watts", "celsius", "reasons")
+
+
+@_query("SELECT role, conv_id, turn, text FROM conversations")
+def q57_samples(spark, sf_dir):
+    """Turns written as samples of a task each, a JSON line a row, and read back."""
+    folder = scratch(spark, "samples")
+    results.write_samples(_table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", "text"), folder, "role")
+    return spark.read.schema("role string, conv_id bigint, turn bigint, text string").json(folder)
+
+
+@_query("""SELECT user_id, round(-sum(w * lp) / sum(w), 6) AS loss FROM (SELECT user_id, ln(value / 200 + 0.25) AS lp, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 0.5 ELSE 1 END AS w FROM events) GROUP BY user_id""")
+def q58_weighted_ce(spark, sf_dir):
+    """Errors are ignored, clicks are end tokens of half the weight."""
+    target = F.when(F.col("event_type") == "error", -100).when(F.col("event_type") == "click", 0).otherwise(1)
+    e = _table(spark, sf_dir, "events").select("user_id", F.log(F.col("value") / 200 + 0.25).alias("logp"), target.alias("target"))
+    return scoring.weighted_cross_entropy(e, "logp", "target", 0, 0.5, by=["user_id"]).withColumn("loss", _r(F.col("loss")))
+
+
+@_query("""SELECT doc_id, n, batch FROM (SELECT doc_id, length(text) AS n, (row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1) // 32 AS batch FROM documents)""")
+def q59_batches(spark, sf_dir):
+    """Documents longest first, in batches of 32."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"))
+    return scoring.batches(d, 32, "n", ["doc_id"])
+
+
+@_query("""WITH s AS (SELECT label, vec_id % 3 AS layer, i AS head, abs(x) / sum(abs(x)) OVER (PARTITION BY vec_id) AS share FROM (SELECT vec_id, label, unnest(embedding[1:8])::DOUBLE AS x, unnest(range(8)) AS i FROM embeddings)),
+h AS (SELECT label, layer, head, avg(share) AS m FROM s GROUP BY ALL), l AS (SELECT label, layer, max(m) AS share FROM h GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, layer, head) AS r FROM h)
+SELECT l.label, l.layer, round(l.share, 6) AS share, top FROM l JOIN (SELECT label, string_agg(layer || '.' || head, ', ' ORDER BY r) AS top FROM b WHERE r <= 5 GROUP BY label) USING (label)""")
+def q60_state_shares(spark, sf_dir):
+    """Shares of eight components as of heads, in three layers."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("layer"), F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double"))).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
+    items = e.select("label", "layer", F.posexplode(F.transform("x", lambda x: x / total)).alias("head", "share"))
+    return recall.state_shares(items, ["label"]).select("label", "layer", _r(F.col("share")).alias("share"), F.regexp_replace("top_heads", "=[0-9.,]+(?=, |$)", "").alias("top"))

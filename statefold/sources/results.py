@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import redact, run_label
 
 
-def run_record(spark: SparkSession, tasks: Sequence[str], weights_sha256: str, weights_path: str, command: Sequence[str], results: dict, limit: int | None = None, label: str | None = None, harness_version: str = "", harness_revision: str | None = None, n_samples: dict | None = None) -> DataFrame:
-    """One row: label, command without the weights' path, date, versions, limit, smoke_test, results and sample counts as JSON."""
-    row = [("+".join(tasks) if label is None else label, " ".join(command), datetime.date.today().isoformat(), harness_version, harness_revision, weights_sha256, limit, json.dumps(results, default=str, ensure_ascii=False), json.dumps(n_samples or {}))]
-    schema = "tasks string, command string, date string, harness_version string, harness_revision string, checkpoint_sha256 string, limit bigint, results string, n_samples string"
+def run_record(spark: SparkSession, tasks: Sequence[str], weights_sha256: str, weights_path: str, command: Sequence[str], results: dict, limit: int | None = None, label: str | None = None, harness_version: str = "", harness_revision: str | None = None, n_samples: dict | None = None, versions: dict | None = None, configs: dict | None = None) -> DataFrame:
+    """One row: label, command without the weights' path, date, versions, limit, smoke_test, results, sample counts, versions and configurations of the tasks as JSON."""
+    row = [("+".join(tasks) if label is None else label, " ".join(command), datetime.date.today().isoformat(), harness_version, harness_revision, weights_sha256, limit, json.dumps(results, default=str, ensure_ascii=False), json.dumps(n_samples or {}), json.dumps(versions or {}, default=str), json.dumps(configs or {}, default=str, ensure_ascii=False))]
+    schema = "tasks string, command string, date string, harness_version string, harness_revision string, checkpoint_sha256 string, limit bigint, results string, n_samples string, versions string, configs string"
     df = spark.createDataFrame(row, schema)
     return df.withColumns({"label": run_label(F.col("tasks"), F.col("limit")), "smoke_test": F.coalesce(F.col("limit"), F.lit(0)) > 0, "command": redact(F.col("command"), weights_path)}).drop("tasks")
 

@@ -114,7 +114,14 @@ def test_stops_are_neither_returned_nor_written(model):
 
 
 def test_ngram_ban():
-    assert G.banned([1, 2, 3, 1, 2], 3) == {3} and G.banned([1, 2], 1) == set() == G.banned([1, 2], 3)
+    for n, window in ((1, 8), (2, 8), (3, 8), (3, 5), (4, 3)):
+        history, ban = [], G.Ban(n, window)
+        for t in np.random.default_rng(n).integers(0, 3, 60).tolist():
+            history.append(t)
+            ban.add(t)
+            seen = history[-window:]
+            grams = {tuple(seen[i : i + n]) for i in range(len(seen) - n + 1)}
+            assert set(ban.tokens()) == ({g[-1] for g in grams if list(g[:-1]) == seen[len(seen) - n + 1 :]} if n > 1 else set())
 
 
 def test_no_ngram_repeats(model):

@@ -10,14 +10,14 @@ from statefold.sources import files, results
 def test_trees_digests_and_words(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.bin").write_bytes(b"\x00abc")
-    (tmp_path / "b.txt").write_text("# names\n\n one \ntwo\n")
+    (tmp_path / "b.txt").write_text("# names\n\n one\t\n\u3000two\n\t# more\n")
     got = {r.path.rsplit("/", 1)[1]: (r["size"], r.sha256) for r in files.file_digests(spark, str(tmp_path)).collect()}
     assert got["a.bin"] == (4, hashlib.sha256(b"\x00abc").hexdigest()) and len(got) == 2
-    assert files.sha256_of(str(tmp_path / "b.txt"), chunk=3) == got["b.txt"][1]
+    assert files.sha256_of(str(tmp_path / "b.txt")) == got["b.txt"][1]
     assert {r.word for r in files.read_words(spark, str(tmp_path / "b.txt")).collect()} == {"one", "two"}
 
 
-def test_tracked_files_and_revision(tmp_path):
+def test_tracked_tree_and_revision(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     assert files.revision(str(tmp_path)) is None
     git("init", "-q")
@@ -25,7 +25,13 @@ def test_tracked_files_and_revision(tmp_path):
     (tmp_path / "new.txt").write_text("x")
     git("add", "é a.txt")
     git("-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x")
-    assert files.tracked_files(str(tmp_path)) == ["é a.txt"] and sorted(files.tracked_files(str(tmp_path), True)) == ["new.txt", "é a.txt"]
+    assert [tuple(r) for r in files.tracked_tree(spark, str(tmp_path)).collect()] == [("é a.txt", 1, False, False)]
+    (tmp_path / "private").mkdir()
+    (tmp_path / "private" / "k.PNG").write_text("xy")
+    every = {tuple(r) for r in files.tracked_tree(spark, str(tmp_path), untracked=True).collect()}
+    assert every == {("é a.txt", 1, False, False), ("new.txt", 1, False, False), ("private/k.PNG", 2, True, True)}
+    (tmp_path / "é a.txt").unlink()
+    assert files.tracked_tree(spark, str(tmp_path)).first().passed_over
     assert len(files.revision(str(tmp_path))) == 40
     (tmp_path / "sub").mkdir()
     assert files.revision(str(tmp_path / "sub")) is None

@@ -8,7 +8,7 @@ from statefold.plans import generate as G
 from statefold.plans import lm
 from statefold.plans.model import Model
 from statefold.streaming.decay import decayed_stream
-from statefold.streaming.session import pack, session_stream, unpack
+from statefold.streaming.session import session_stream
 from statefold.streaming.telemetry import energy_stream
 from statefold.streaming.text_sink import HeldBack, text_sink
 
@@ -77,9 +77,24 @@ def test_sessions_equal_one_pass(spark, tmp_path):
 
 def test_state_round_trip():
     model = Model(lm.tiny_weights(), chunk=8)
-    _, states = model.read([5, 6, 7])
-    back = unpack(pack(states))
-    assert np.abs(model.step(8, back)[0] - model.step(8, states)[0]).max() == 0
+    session = G.Session(model)
+    with pytest.raises(RuntimeError):
+        session.snapshot()
+    session.feed([5, 6, model.shape.end])
+    back = G.Session.restore(model, session.snapshot())
+    assert back.last == session.last and np.abs(back.feed([8]) - session.feed([8])).max() == 0
+
+
+def test_a_batch_state_seeds_a_stream(spark, tmp_path):
+    weights = lm.tiny_weights()
+    model = Model(weights, chunk=8)
+    whole, half = G.Session(model), G.Session(model)
+    half.feed([5, 6, 7, 9])
+    whole.feed([5, 6, 7, 9])
+    rows = [[(1, 0, [11, 12], bytearray(half.snapshot()))], [(1, 1, [13], None), (1, 0, [14], None)]]
+    got = run(spark, tmp_path, rows, "conv_id bigint, turn bigint, ids array<bigint>, session binary", lambda s: session_stream(s, weights, chunk=8), "seeded_out")
+    want = [int(whole.feed(ids).argmax()) for ids in ([11, 12], [13])]
+    assert [r.best for r in sorted(got, key=lambda r: r.turn)] == want
 
 
 def test_characters_wait_until_they_are_whole(spark):
