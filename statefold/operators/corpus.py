@@ -84,21 +84,20 @@ def uniform(key: Column) -> Column:
 def mixture_rates(counts: Mapping[str, int], floors: Mapping[str, float]) -> dict[str, float]:
     """Share of each group that is kept, so that every group with a floor has at least that share of what is kept.
 
-    Groups under their floor are kept whole, and the others thinned alike until the scarcest of them has its share.
+    As much is kept as the scarcest group allows, which is kept whole. Others are thinned alike, but not below their floors.
     """
     if not all(0 < f for f in floors.values()) or sum(floors.values()) >= 1:
         raise ValueError("floors must be positive and leave room for others")
-    total, low = sum(counts.values()), {}
-    while True:  # thinning the others can only help, but those with a floor of their own may fall under it
-        rest = {g: n for g, n in counts.items() if g not in low}
-        more = {g for g in rest if g in floors and counts[g] < floors[g] * total}
+    wanted = {g: f for g, f in floors.items() if counts.get(g)}
+    total = min([sum(counts.values()), *(counts[g] / f for g, f in wanted.items())])
+    at_floor: dict[str, float] = {}
+    while True:
+        rest = sum(n for g, n in counts.items() if g not in at_floor)
+        rate = min((total - sum(at_floor.values())) / rest, 1.0) if rest else 1.0
+        more = {g: f * total for g, f in wanted.items() if g not in at_floor and f * total > rate * counts[g]}
         if not more:
-            break
-        low |= {g: counts[g] for g in more}
-        total = min(min(n / floors[g] for g, n in low.items()), total)
-    rest = sum(n for g, n in counts.items() if g not in low)
-    rate = min(max((total - sum(low.values())) / rest, 0.0), 1.0) if rest else 1.0
-    return {g: 1.0 if g in low else rate for g in counts}
+            return {g: min(at_floor[g] / n, 1.0) if g in at_floor else rate for g, n in counts.items()}
+        at_floor |= more
 
 
 def with_mixture_floor(docs: DataFrame, group: str, key: str, floors: Mapping[str, float]) -> DataFrame:
