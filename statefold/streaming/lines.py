@@ -15,8 +15,8 @@ def line_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> D
     """Streaming (source, place, line, command, argument, message, lang): a file is what a session was typed, and its first
     blank line ends it. The language of a message that names none is that of its script. Files come whole: a session is
     typed by hand."""
-    files = spark.readStream.option("maxFilesPerTrigger", files_at_once).option("wholetext", True).text(folder)
-    typed = F.regexp_replace("value", rf"(?s)(?:^|\r\n|[\r\n])[{BLANK}]*(?:[\r\n].*|$)", "")
+    files = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder, wholetext=True)
+    typed = F.regexp_replace("value", rf"(?s)(?>^|\r\n|[\r\n])[{BLANK}]*(?:[\r\n].*|$)", "")
     lines = files.select(F.input_file_name().alias("source"), F.posexplode(F.split(typed, r"\r\n|[\r\n]")).alias("place", "_line"))
     lines = lines.select("source", "place", strip(F.col("_line")).alias("line")).where("line <> ''")
     command, argument, message = parse_command(F.col("line"))

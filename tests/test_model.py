@@ -216,3 +216,51 @@ def test_over_data_frames(spark, model):
 
     raw = spark.createDataFrame([("aé",), ("",)], "t string").select(lm.byte_ids(F.col("t")).alias("i")).collect()
     assert [r.i for r in raw] == [[b % 95 + 2 for b in "aé".encode()], []]
+
+
+def test_prompts_in_step_are_prompts_alone(model):
+    prompts = [ids(5 + 3 * i, seed=i) for i in range(7)] + [[], [model.shape.end], ids(4, seed=9) + [model.shape.end]]
+    for how in ({}, {"no_repeat": 2}, {"penalty": 1.5, "stops": []}, {"temperature": 0.8, "top_k": 9, "min_p": 0.05, "seed": 3, "no_repeat": 3}):
+        want = []
+        for p in prompts:
+            s = G.Session(model)
+            s.feed(p or [model.shape.end])
+            want.append(s.generate(9, **how))
+        assert G.generate_many(model, prompts, 9, **how) == want
+    assert G.generate_many(model, [], 3) == []
+
+
+def test_penalty():
+    assert G.penalised(np.array([2.0, -2.0, 1.0]), [0, 1, 1], 2.0).tolist() == [1.0, -4.0, 1.0]
+
+
+def test_stop_strings_across_tokens():
+    """Bytes as tokens: characters and stop strings come in pieces, and long replies are decoded by their ends."""
+    decode = lambda out: bytes(out).decode("utf-8", "replace")
+    text = "né ಕನ್ನಡ " * 40 + "the end. and more"
+    for stops, want in ((["end."], text[: text.index("end.")]), (["zzz", "d. a", "nd"], text[: text.index("nd.")]), ([], text), (["ಡ"], text[: text.index("ಡ")])):
+        watch = G.StopWatch(decode, stops)
+        for t in text.encode():
+            if watch.add(t):
+                break
+        assert watch.text == want
+
+
+def test_a_stepper_takes_the_model_s_place(model):
+    calls = []
+
+    def stepper(token, states, after_end):
+        calls.append(token)
+        return model.step(token, states, after_end)
+
+    plain, own = G.Session(model), G.Session(model, stepper=stepper)
+    plain.feed(ids(5))
+    own.feed(ids(5))
+    assert own.generate(4, stops=[]) == plain.generate(4, stops=[]) == calls
+
+
+def test_generate_until_over_data_frames(spark, model):
+    prompts = [(i, ids(4 + i, seed=i)) for i in range(5)] + [(9, None)]
+    decode = lambda out: "".join(chr(97 + t % 26) for t in out)
+    got = {r.k: r.text for r in lm.generate_until(spark.createDataFrame(prompts, "k int, ids array<int>"), lm.tiny_weights(), "k", "ids", 8, decode, ["q", "e"], {"stops": []}, chunk=8).collect()}
+    assert got == {k: G.generate_until(model, p or [], 8, decode, ["q", "e"], stops=[]) for k, p in prompts}

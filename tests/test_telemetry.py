@@ -81,3 +81,19 @@ def test_footprint(spark, tmp_path):
         T.with_footprint(s, grid_kg_per_kwh=0.7)
     text, code = report(s, as_json=True)
     assert code == 0 and '"samples": 3601' in text
+
+
+def test_quoted_commas_and_second_headers(spark, tmp_path):
+    body = 'timestamp, name, power.draw [W]\n2026/11/18 16:00:00.000, "card, ""two""", 50\n2026/11/18 16:00:01.000, x, 50\npower.draw [W], timestamp, name\n2026/11/18 16:00:02.000, x, 50\n'
+    (tmp_path / "q.csv").write_text(body)
+    rows = sorted(read_log(spark, str(tmp_path / "q.csv")).collect(), key=lambda r: r.ts)
+    assert [(r.ts.second, r.watts) for r in rows] == [(0, 50.0), (1, 50.0), (2, 50.0)]
+
+
+def test_high_bits_of_the_mask_and_samples_without_a_time(spark, tmp_path):
+    (r,) = summary(spark, tmp_path, HEADER + "".join(line(s, reasons="0x8000000000000040") for s in range(11)))
+    assert r.share_thermal_throttled == 1.0
+    rows = [(1, START, 1.0, None, None), (1, None, 2.0, None, None), (1, START + datetime.timedelta(seconds=1), 3.0, None, None)]
+    df = spark.createDataFrame(rows, "device int, ts timestamp, watts double, celsius double, reasons bigint")
+    (one,), (all_,) = T.energy_summary(df, ["device"]).collect(), T.energy_summary(df).collect()
+    assert one.samples == all_.samples == 3 and one.kwh == all_.kwh

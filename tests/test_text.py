@@ -57,3 +57,29 @@ def test_tolerant_parsers(spark):
     rows = column(spark, ["0x0000000000000040", "ff", "zz", "[N/A]", "", None, " 12.5 ", "1e3"]).select(numeric.parse_hex(F.col("x")).alias("h"), numeric.parse_number(F.col("x")).alias("n")).collect()
     assert [r.h for r in rows] == [64, 255, None, None, None, None, None, 0x1E3]
     assert [r.n for r in rows] == [None, None, None, None, None, None, 12.5, 1000.0]
+
+
+def test_numbers_and_masks_of_every_length(spark):
+    texts = ["0x8000000000000040", "8000000000000040", "0xffffffffffffffff", "1" + "0" * 20 + "4", "-0x10", "+ff", "0X_1f", "1_0", "1__0", "_1", "0x", "\t40\u00a0"]
+    got = [r[0] for r in column(spark, texts).select(numeric.parse_hex(F.col("x"))).collect()]
+    signed = lambda n: n - 2**64 if n >> 63 else n
+    assert got == [signed(0x8000000000000040)] * 2 + [-1, 4, -16, 255, 31, 16, None, None, None, 64]
+    texts = ["100d", "1f", "100.", ".5", "1_000.5e-1_0", "1__0", "-Infinity", "inf", "NaN", "0x10", "1e", " 7\t", "1 2", "+3"]
+    got = [r[0] for r in column(spark, texts).select(numeric.parse_number(F.col("x"))).collect()]
+    assert [str(x) for x in got] == [str(x) for x in [None, None, 100.0, 0.5, 1000.5e-10, None, float("-inf"), float("inf"), float("nan"), None, None, 7.0, None, 3.0]]
+
+
+def test_white_space_of_every_kind(spark):
+    edge = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [edge + "a" + edge + "b" + edge, edge, "", None, " " * 50_000 + "x" + " " * 50_000 + "y"]
+    got = [r[0] for r in column(spark, texts).select(numeric.strip(F.col("x"))).collect()]
+    assert got == [x if x is None else x.strip() for x in texts]
+    files = [(".claude/x", "file:///a"), ("a", "\t file:///a \t")]
+    got = T.scan_lines(spark.createDataFrame(files, "p string, t string"), "p", "t").collect()
+    assert {(r.path, r.label, r.excerpt) for r in got} == {(".claude/x", "private file", ""), ("a", "file url", "file:///a")}
+
+
+def test_commands_with_tabs(spark):
+    command, argument, message = T.parse_command(F.col("x"))
+    got = {r[0]: tuple(r[1:]) for r in column(spark, ["\t/lang kan", "/new\tx", "/new x", "/kan\u3000", "/eng \t hi "]).select("x", command, argument, message).collect()}
+    assert got == {"\t/lang kan": ("lang", "kan", None), "/new\tx": ("unknown", None, None), "/new x": ("new", None, None), "/kan\u3000": ("unknown", None, None), "/eng \t hi ": ("once", "eng", "hi")}

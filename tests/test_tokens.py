@@ -42,7 +42,8 @@ def test_special_tokens(spark, path):
 
 def test_lines_are_streamed(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("/kan hi\n\n hello \n/new\nನಮಸ್ಕಾರ\n")
+    (tmp_path / "in" / "a.txt").write_text("/kan hi\r\n hello \n\t/new\nನಮಸ್ಕಾರ\n \t\nafter the end\n")
+    (tmp_path / "in" / "b.txt").write_text("\nnothing\n")
     query = line_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("lines_out").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.command, r.message, r.lang) for r in spark.table("lines_out").collect()} == {("once", "hi", "kan"), ("message", "hello", "eng"), ("new", None, None), ("message", "ನಮಸ್ಕಾರ", "kan")}
