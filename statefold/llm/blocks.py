@@ -81,8 +81,9 @@ def dealt(rows: DataFrame, group: str, size: int, large: DataFrame) -> DataFrame
     return out.repartition(group, *UNIT).sortWithinPartitions(group, *UNIT)
 
 
-def units(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
-    """The runs of equal (by, lo, hi) with two or more rows, across batches; keys must be integers without null."""
+def runs(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units (runs of equal by, lo, hi), and where their units begin and the last one ends; keys must be
+    integers without null. A table is a batch and what was left of the one before."""
     keys, held = [*by, *UNIT], None
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -91,10 +92,17 @@ def units(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.T
             continue
         at = _runs(t, keys)
         held = t.slice(at[-2])
-        for i in np.flatnonzero(np.diff(at[:-1]) > 1):
+        if at[-2]:
+            yield t.slice(0, at[-2]), np.array(at[:-1])
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def units(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
+    """The units with two or more rows, one at a time."""
+    for t, at in runs(batches, by):
+        for i in np.flatnonzero(np.diff(at) > 1):
             yield t.slice(at[i], at[i + 1] - at[i])
-    if held is not None and held.num_rows > 1:
-        yield held
 
 
 def _runs(t: pa.Table, keys: Sequence[str]) -> list[int]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import dealt, large_groups, shared, units
+from .blocks import dealt, large_groups, runs, shared
 from .durable import cut
 from .graph import components
 
@@ -84,8 +84,10 @@ def bucket_codes(vectors: np.ndarray, how: Hashing) -> np.ndarray:
             x = x[:, :few]
             # Both ends of every axis, as a single one has an other end to probe.
             ends = np.stack((x, -x), axis=2).reshape(rows, 2 * few)
-            nearest = np.argsort(-ends, axis=1, kind="stable")[:, : 1 + how.probes]
-            best = ends[at[:, None], nearest]
+            most = np.argpartition(-ends, how.probes, axis=1)[:, : 1 + how.probes] if 2 * few > 1 + how.probes else np.tile(np.arange(2 * few), (rows, 1))
+            best = ends[at[:, None], most]
+            order = np.argsort(-best, axis=1, kind="stable")
+            nearest, best = most[at[:, None], order], best[at[:, None], order]
             own += nearest[:, 0] * base
             others.append((nearest[:, 1:] - nearest[:, :1]) * base)
             margins.append(best[:, :1] - best[:, 1:])
@@ -117,42 +119,94 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(hit[at, table], a[at, table], none).min(axis=1)
 
 
-def unit_links(vectors: np.ndarray, side: np.ndarray, count: np.ndarray, label: np.ndarray, name: int, how: Hashing, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a unit of the bucket ``name``: places of the rows with links counted here, how many vectors they link with, and a root each."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if side.any() else left
-    n = len(side)
-    links, root = np.zeros(n, np.int64), np.arange(n)
-    pairs_i, pairs_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(left), 512) if len(right) else ():
-        i, j = np.nonzero(unit[left[at : at + 512]] @ unit[right].T >= cosine)
-        i, j = left[at + i], right[j]
-        if right is left:
-            i, j = i[i < j], j[i < j]
-        i, j = i[label[i] == label[j]], j[label[i] == label[j]]
-        if len(i):
-            used, back = np.unique(np.concatenate((i, j)), return_inverse=True)
-            names = bucket_names(bucket_codes(vectors[used], how), label[used])
-            for p in range(0, len(i), 20_000):
-                s = slice(p, p + 20_000)
-                here = _first_meeting(names[back[: len(i)][s]], names[back[len(i) :][s]]) == name
-                pairs_i.append(i[s][here])
-                pairs_j.append(j[s][here])
-    i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-    np.add.at(links, i, count[j])
-    np.add.at(links, j, count[i])
-    while True:  # smallest place by links, then by jumps
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        for at in (i, j, root[i], root[j]):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    linked = np.flatnonzero(links)
-    return linked, links[linked], root[linked]
+_SMALL = 32  # units up to so many rows are compared together, row by row at each distance; larger ones by matrices
+_AT_ONCE = 20_000
+
+
+def close_pairs(unit: np.ndarray, begins: np.ndarray, side: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows of a unit, on its two sides if it has such, whose cosine is at least ``cosine``; rows are unit vectors."""
+    sizes = np.diff(begins)
+    ends = np.repeat(begins[1:], sizes)
+    small = np.repeat(sizes <= _SMALL, sizes)
+    two = np.repeat(np.logical_or.reduceat(side > 0, begins[:-1]) if len(sizes) else sizes > 0, sizes)
+    at = np.arange(len(unit))
+    for d in range(1, min(int(sizes.max(initial=0)), _SMALL)):
+        i = at[small & (at + d < ends)]
+        i = i[~two[i] | (side[i] != side[i + d])]
+        for s in range(0, len(i), _AT_ONCE):
+            part = i[s : s + _AT_ONCE]
+            part = part[np.einsum("ij,ij->i", unit[part], unit[part + d]) >= cosine]
+            yield part, part + d
+    for g in np.flatnonzero(sizes > _SMALL):
+        rows = at[begins[g] : begins[g + 1]]
+        crossed = bool(two[rows[0]])
+        left = rows[side[rows] == 0]
+        right = rows[side[rows] == 1] if crossed else rows
+        for s in range(0, len(left), 256):
+            i, j = np.nonzero(unit[left[s : s + 256]] @ unit[right].T >= cosine)
+            i, j = left[s : s + 256][i], right[j]
+            yield (i, j) if crossed else (i[i < j], j[i < j])
+
+
+class Links:
+    """Links of pairs that were found in a bucket, counted if it is the first one in which the two meet. Pairs are gathered
+    from many buckets, so that codes of their vectors are made once and together."""
+
+    def __init__(self) -> None:
+        self.pairs: list[tuple[np.ndarray, ...]] = []
+        self.vectors: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by length
+        self.size = 0
+
+    def add(self, bucket: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, cls: np.ndarray, n: np.ndarray, alike: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = alike[i] == alike[j]  # else two buckets have a name in common
+        i, j = i[same], j[same]
+        if not len(i):
+            return
+        used = np.unique(np.concatenate((i, j)))
+        self.pairs.append((bucket[i], cls[i], cls[j], n[i], n[j]))
+        self.vectors.setdefault(x.shape[1], []).append((cls[used], x[used], alike[used], level[used]))
+        self.size += len(i)
+        if self.size >= _AT_ONCE:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """(cls, links, root): what the gathered pairs give each vector, and the smallest one they lead to."""
+        if not self.pairs:
+            return
+        bucket, a, b, na, nb = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        here = np.zeros(len(a), bool)
+        for found in self.vectors.values():
+            cls, x, alike, level = (np.concatenate(v) for v in zip(*found, strict=True))
+            cls, first = np.unique(cls, return_index=True)
+            x, alike, level = x[first], alike[first], level[first]
+            for lv in np.unique(level):
+                mine = np.flatnonzero(level == lv)
+                names = bucket_names(bucket_codes(x[mine], hashing_for(int(lv))), alike[mine])
+                own = cls[mine]
+                i = np.minimum(np.searchsorted(own, a), len(own) - 1)
+                at = np.flatnonzero(own[i] == a)
+                i, j = i[at], np.searchsorted(own, b[at])
+                for s in range(0, len(at), _AT_ONCE):
+                    p = slice(s, s + _AT_ONCE)
+                    here[at[p]] = _first_meeting(names[i[p]], names[j[p]]) == bucket[at[p]]
+        self.pairs, self.vectors, self.size = [], {}, 0
+        cls, at = np.unique(np.concatenate((a[here], b[here])), return_inverse=True)
+        if not len(cls):
+            return
+        i, j = np.split(at, 2)
+        links, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
+        np.add.at(links, i, nb[here])
+        np.add.at(links, j, na[here])
+        while True:  # smallest place by links, then by jumps
+            low = np.minimum(root[i], root[j])
+            new = root.copy()
+            for to in (i, j, root[i], root[j]):
+                np.minimum.at(new, to, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(links), pa.array(cls[root])], names=["cls", "links", "root"])
 
 
 def _comparable(vector: str) -> Column:
@@ -206,13 +260,19 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, key: str = "vec
     met = cut(shared(leveled.select("cls", "alike", "level", "v").mapInArrow(posted, "bucket bigint, cls bigint"), "bucket", "cls"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in units(batches, ["bucket"]):
-            for at, dim, level in each(t):  # one, unless two buckets have a name in common
-                part = t.take(pa.array(at))
-                cls, side, n, own = (part.column(c).to_numpy() for c in ("cls", "side", "n", "alike"))
-                at, links, root = unit_links(_matrix(part.column("v"), dim), side, n, own, part.column("bucket")[0].as_py(), hashing_for(level), cosine)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(links), pa.array(cls[root])], names=["cls", "links", "root"])
+        links = Links()
+        for t, _ in runs(batches, ["bucket"]):
+            dims = pc.list_value_length(t.column("v")).to_numpy()
+            for dim in np.unique(dims):
+                part = t.filter(pa.array(dims == dim)) if (dims != dim).any() else t
+                bucket, lo, hi, side, cls, n, alike, level = (part.column(c).to_numpy() for c in ("bucket", "lo", "hi", "side", "cls", "n", "alike", "level"))
+                change = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+                begins = np.concatenate(([0], np.flatnonzero(change) + 1, [len(bucket)]))
+                x = _matrix(part.column("v"), int(dim))
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                for i, j in close_pairs(unit, begins, side, cosine):
+                    yield from links.add(bucket, i, j, x, cls, n, alike, level)
+        yield from links.rest()
 
     company = dealt(met.join(leveled, "cls"), "bucket", unit_size, large_groups(met, "bucket", unit_size))
     found = cut(company.mapInArrow(linked, "cls bigint, links bigint, root bigint"))
