@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,13 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of results that nothing refers to any more. Its cleaner waits for the
+    driver's garbage collector, which may not run for a whole job of many rounds, while disks fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """scan, with its rows dealt anew if it has rows in fewer partitions than there are cores, as one file of one row group has.
 

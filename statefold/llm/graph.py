@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import cut
+from .durable import cut, release
 
 
 def _joined(arcs: DataFrame) -> DataFrame:
@@ -42,5 +42,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = mark
+        release(now.sparkSession)  # what the round before left
         now = cut(_small_star(_large_star(now)).where("u != v").distinct(), 2 * mark[0])  # a step makes two edges of one at most
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
