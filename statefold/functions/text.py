@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ LEAK_PATTERNS = (
     ("user home", r"(?i)[\\/]Users[\\/][^\\/\s]+"),
     ("personal mail", r"(?i)[A-Za-z0-9._%+-]+@(gmail|outlook|hotmail|yahoo|proton)\."),
 )
+# What a text must hold, in lower case, for a pattern to match: cheap to look for before a pattern runs.
+LEAK_GATES = {"windows path": (":\\",), "file url": ("file:///",), "user home": ("users",), "personal mail": ("@gmail.", "@outlook.", "@hotmail.", "@yahoo.", "@proton.")}
 BINARY_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".woff", ".woff2", ".ttf")
 MAX_SCAN_BYTES = 8 * 1024 * 1024
 PRIVATE_PREFIXES = ("private/", ".claude/")
@@ -118,8 +122,13 @@ def scan_lines(files: DataFrame, path: str, text: str, words: Sequence[str] = ()
     """(path, line, label, excerpt) of every line and pattern that matches, and of every file with a private prefix.
 
     Binary suffixes and files over 8 MiB are passed over. Patterns are a few literals, so a line meets them in one
-    projection and not in a join.
+    projection and not in a join; only files and lines that hold what a pattern needs are cut into lines and matched.
     """
+    gates = LEAK_GATES | {"blocked name": tuple(w.lower() for w in words if w)}
+
+    def may_hold(c: Column, label: str) -> Column:
+        return reduce(or_, [F.lower(c).contains(x) for x in gates[label]])
+
     name = F.col(path)
     hidden = F.lit(False)
     for prefix in private:
@@ -127,7 +136,8 @@ def scan_lines(files: DataFrame, path: str, text: str, words: Sequence[str] = ()
     binary = F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in BINARY_SUFFIXES) + ")$")
     patterns = [*LEAK_PATTERNS, *([("blocked name", p)] if (p := word_pattern(words)) else [])]
     flagged = files.where(hidden).select(name.alias("path"), F.lit(0).alias("line"), F.lit("private file").alias("label"), F.lit("").alias("excerpt"))
-    lines = files.where(~hidden & ~binary & (F.octet_length(text) <= MAX_SCAN_BYTES)).select(name.alias("path"), F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")).alias("line", "_text"))
-    hits = F.filter(F.array(*[F.when(F.col("_text").rlike(p), F.lit(label)) for label, p in patterns]), lambda x: x.isNotNull())
+    some = reduce(or_, [may_hold(F.col(text), label) for label, _ in patterns])
+    lines = files.where(~hidden & ~binary & (F.octet_length(text) <= MAX_SCAN_BYTES) & some).select(name.alias("path"), F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")).alias("line", "_text"))
+    hits = F.filter(F.array(*[F.when(may_hold(F.col("_text"), label) & F.col("_text").rlike(p), F.lit(label)) for label, p in patterns]), lambda x: x.isNotNull())
     found = lines.select("path", (F.col("line") + 1).alias("line"), F.explode(hits).alias("label"), F.left(strip(F.col("_text")), F.lit(120)).alias("excerpt"))
     return flagged.unionByName(found)

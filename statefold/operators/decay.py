@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,12 +45,12 @@ def folded(df: DataFrame, seq: str) -> DataFrame:
 
 
 def block_states(df: DataFrame, seq: str, size: int) -> DataFrame:
-    """(seq, doc, blk, la, v): what each block of ``size`` places does to a document's state, an (A, U) pair.
+    """(seq, doc, blk, n, la, v): what each block of ``size`` places does to a document's state, an (A, U) pair.
 
     Pairs combine in order by (A, U) . (A', U') = (A + A', exp(A') * U + U'); rows of a block are summed before a shuffle
     could be needed, as it is the one of the sequence's window.
     """
-    return _in_blocks(df, seq, size).groupBy(seq, "doc", "blk").agg(F.sum("la").alias("la"), F.sum(F.col("v") * F.exp(F.col("_end") - F.col("_p"))).alias("v"))
+    return _in_blocks(df, seq, size).groupBy(seq, "doc", "blk").agg(F.count("*").alias("n"), F.sum("la").alias("la"), F.sum(F.col("v") * F.exp(F.col("_end") - F.col("_p"))).alias("v"))
 
 
 def _in_blocks(df: DataFrame, seq: str, size: int) -> DataFrame:
@@ -98,13 +98,23 @@ def grouped(df: DataFrame, seq: str) -> DataFrame:
     return rows.repartition(seq).sortWithinPartitions(seq, "doc", "t").mapInArrow(scan, f"`{seq}` {kind}, doc bigint, t bigint, y double")
 
 
-def final_state(df: DataFrame, seq: str, size: int = 64) -> DataFrame:
-    """(seq, doc, n, state): each document's state after its last row, from its blocks' states merged in order."""
+def _merged(states: DataFrame, seq: str, by: Column) -> DataFrame:
+    """States of one document that are neighbours, merged in order: by tells which belong together."""
+    both = states.withColumn("_to", by).groupBy(seq, "doc", "_to").agg(F.sum("n").alias("n"), F.sum("la").alias("la"), F.array_sort(F.collect_list(F.struct("blk", F.col("la").alias("a"), "v"))).alias("_s"))
+    v = F.aggregate("_s", F.lit(0.0), lambda s, b: F.exp(b.a) * s + b.v)
+    return both.select(seq, "doc", F.col("_to").alias("blk"), "n", "la", v.alias("v"))
+
+
+def final_state(df: DataFrame, seq: str, size: int = 64, levels: int = 3) -> DataFrame:
+    """(seq, doc, n, state): each document's state after its last row, from its blocks' states.
+
+    States are merged ``size`` at a time, level by level, so a document of size ** (levels + 1) rows never has more than
+    ``size`` of them in one row; what is left after the levels is merged at once.
+    """
     states = block_states(df, seq, size)
-    merged = states.groupBy(seq, "doc").agg(F.array_sort(F.collect_list(F.struct("blk", "la", "v"))).alias("_s"))
-    state = F.aggregate("_s", F.lit(0.0), lambda s, b: F.exp(b.la) * s + b.v)
-    n = df.groupBy(seq, "doc").agg(F.count("*").alias("n"))
-    return merged.select(seq, "doc", state.alias("state")).join(n, [seq, "doc"])
+    for _ in range(levels - 1):
+        states = _merged(states, seq, F.floor(F.col("blk") / size).cast("bigint"))
+    return _merged(states, seq, F.lit(0)).select(seq, "doc", "n", F.col("v").alias("state"))
 
 
 def masked_pairs(df: DataFrame, seq: str, size: int) -> DataFrame:

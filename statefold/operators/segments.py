@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 def segmented(df: DataFrame, seq: str, order: Sequence[str], sentinel: Column, carried: Column | bool = False) -> DataFrame:
     """df with t (place in the sequence, from 0), reset (first row after a sentinel) and doc (running number of resets).
@@ -21,6 +23,28 @@ def segmented(df: DataFrame, seq: str, order: Sequence[str], sentinel: Column, c
     return marked.withColumn("doc", F.sum(F.col("reset").cast("bigint")).over(running))
 
 
+def segmented_in_ranges(df: DataFrame, seq: str, order: Sequence[str], sentinel: Column) -> DataFrame:
+    """What ``segmented`` gives, for sequences that are too long for a task: rows are dealt into ranges of (seq, order), numbered
+    within each, and what a range adds to a sequence that goes on in the next is added up from one row a range and sequence.
+
+    Rows must differ in (seq, order), or they may be numbered otherwise when read again.
+    """
+    cut = df.withColumn("_s", F.coalesce(sentinel, F.lit(False))).repartitionByRange(seq, *order).withColumn("_range", F.spark_partition_id())
+    cut = settled(cut)
+    w = Window.partitionBy("_range", seq).orderBy(*order)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = cut.withColumns({"t": F.row_number().over(w) - 1, "reset": F.lag("_s").over(w), "_ends": F.sum(F.col("_s").cast("bigint")).over(running)})
+    parts = cut.groupBy(F.col(seq).alias("_seq"), F.col("_range").alias("_part")).agg(F.count("*").alias("_n"), F.sum(F.col("_s").cast("bigint")).alias("_e"), F.max_by("_s", F.struct(*order)).alias("_last"))
+    over = Window.partitionBy("_seq").orderBy("_part")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select("_seq", "_part", F.sum("_n").over(before).alias("_t0"), F.sum("_e").over(before).alias("_e0"), F.lag("_last").over(over).alias("_open")).where("_t0 is not null")
+    # Only sequences that begin in an earlier range have such a row: one a range at most, as ranges are in order.
+    joined = own.join(F.broadcast(ahead), F.col(seq).eqNullSafe(F.col("_seq")) & (F.col("_range") == F.col("_part")), "left")
+    reset = F.coalesce("reset", "_open", F.lit(False))
+    ended = F.col("_ends") - F.col("_s").cast("bigint") + F.coalesce("_e0", F.lit(0))  # sentinels before the row
+    return joined.select(*df.columns, (F.col("t") + F.coalesce("_t0", F.lit(0))).cast("bigint").alias("t"), reset.alias("reset"), ended.cast("bigint").alias("doc"))
+
+
 def segment_stats(df: DataFrame, seq: str, value: str) -> DataFrame:
     """One row for each document: rows, first and last place, sum of a value."""
     return df.groupBy(seq, "doc").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum(value).alias("total"))

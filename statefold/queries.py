@@ -13,6 +13,7 @@ from .operators import corpus, decay, memory, ranking, recall, scoring, segments
 from .plans import lm
 from .plans.model import decay_biases
 from .sources import extract, results, telemetry_csv
+from .sources.scan import spread
 from .sources.scratch import scratch
 
 BLOCK = 8  # one event in five ends a document, so short blocks are needed for states to be carried between them
@@ -35,6 +36,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spread(_table(spark, sf_dir, name))
+
+
 def _r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
@@ -61,7 +66,10 @@ def q01_segments(spark, sf_dir):
 
 @_query(f"WITH {_SEG} SELECT user_id, doc, count(*) AS n, min(t) AS first_t, max(t) AS last_t, round(sum(value), 6) AS total FROM seg GROUP BY ALL")
 def q02_segment_stats(spark, sf_dir):
-    return segments.segment_stats(_events(spark, sf_dir), "user_id", "value").withColumn("total", _r(F.col("total")))
+    """By the plan for sequences of any length."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    seg = segments.segmented_in_ranges(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+    return segments.segment_stats(seg, "user_id", "value").withColumn("total", _r(F.col("total")))
 
 
 @_query(f"WITH {_PREFIX} SELECT user_id, doc, t, round(y, 6) AS y FROM y")
@@ -138,7 +146,7 @@ def q13_softmax_logsumexp(spark, sf_dir):
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", " ", -1)).alias("t", "tok"))
+    return _texts(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", " ", -1)).alias("t", "tok"))
 
 
 @_query("""WITH c AS (SELECT lang, tok, count(*) AS c FROM (SELECT lang, unnest(string_split(text, ' ')) AS tok FROM documents) GROUP BY ALL), n AS (SELECT lang, sum(c) AS n FROM c GROUP BY lang)
@@ -192,13 +200,13 @@ _COUNT_SQL = ", ".join(f"length(text) - length(regexp_replace(text, '[\\x{{{lo:0
 @_query(f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL {_SCRIPT_SQL}), c AS (SELECT doc_id, {_COUNT_SQL} FROM d), m AS (SELECT *, greatest(kan, tam, tel, mal) AS m FROM c) SELECT doc_id, CASE WHEN m = 0 THEN 'eng' WHEN kan = m THEN 'kan' WHEN tam = m THEN 'tam' WHEN tel = m THEN 'tel' ELSE 'mal' END AS lang FROM m")
 def q19_script_detect(spark, sf_dir):
     literal = spark.createDataFrame([(i, s) for s, i in _SCRIPTS], "doc_id bigint, text string")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(literal)
+    docs = _texts(spark, sf_dir).select("doc_id", "text").unionByName(literal)
     return docs.select("doc_id", text.detect_language(F.col("text")).alias("lang"))
 
 
 @_query()
 def q20_pretokens(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").select("doc_id", "text", text.pretokens(F.col("text")).alias("w"))
+    words = _texts(spark, sf_dir).select("doc_id", "text", text.pretokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.size("w").alias("n"), (F.array_join("w", "") == F.col("text")).alias("whole"), F.size(F.array_distinct("w")).alias("kinds"))
 
 
@@ -301,14 +309,14 @@ _LEAK_SQL = " UNION ALL ".join(
 
 @_query(f"WITH f AS (SELECT 'documents/' || doc_id AS path, text FROM documents UNION ALL SELECT 'pages/' || page_id, html FROM pages), s AS (SELECT path, string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM f), x AS (SELECT path, unnest(ls) AS l, unnest(range(1, len(ls) + 1))::INTEGER AS line FROM s) {_LEAK_SQL}")
 def q29_leak_scan(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("path"), "text")
-    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), "page_id").alias("path"), F.col("html").alias("text"))
+    docs = _texts(spark, sf_dir).select(F.concat(F.lit("documents/"), "doc_id").alias("path"), "text")
+    pages = _texts(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), "page_id").alias("path"), F.col("html").alias("text"))
     return text.scan_lines(docs.unionByName(pages), "path", "text", words=["thend", "licensed"])
 
 
 @_query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents")
 def q30_sha_manifest(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"))
+    return _texts(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"))
 
 
 @_query("SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
@@ -368,10 +376,10 @@ def q36_stream_equals_batch(spark, sf_dir):
     rows = spark.readStream.schema(schema).parquet(path + "*")
     chars = F.length("text").cast("double")
     keyed = rows.select(F.col("conv_id").alias("key"), F.col("turn").alias("t"), numeric.log_decay(chars / 100 - 3).alias("la"), chars.alias("v"), (F.col("role") == "assistant").alias("is_end"))
-    name = "statefold_q36"
-    stream = decayed_stream(keyed).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.table(name).select("key", "t", "doc", _r(F.col("y")).alias("y"))
+    folder = scratch(spark, "stream")
+    sink = decayed_stream(keyed).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append")
+    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("key", "t", "doc", _r(F.col("y")).alias("y"))
 
 
 @_query()
@@ -401,7 +409,7 @@ def q39_decay_init(spark, sf_dir):
 d AS (SELECT lang, doc_id, unnest(string_split(text, ' ')) AS tok FROM documents), s AS (SELECT lang, sum(ln(c / n)) AS lp, count(*) AS k FROM d JOIN c USING (tok), n GROUP BY lang), b AS (SELECT lang, sum(octet_length(encode(text))) AS b FROM documents GROUP BY lang)
 SELECT lang, round(-lp / ln(2::DOUBLE) / b, 6) AS bits_per_byte, round(k / b, 6) AS tokens_per_byte FROM s JOIN b USING (lang)""")
 def q40_bits_per_byte(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = _texts(spark, sf_dir).select("doc_id", "lang", "text")
     w = d.select("lang", F.explode(F.split("text", " ", -1)).alias("tok")).groupBy("lang", "tok").agg(F.count("*").alias("k"))
     counts = w.groupBy("tok").agg(F.sum("k").alias("c"))
     n = counts.agg(F.sum("c").alias("total"))  # one row
@@ -508,7 +516,7 @@ _GRAMS = "list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_
 d AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents))
 SELECT doc_id, count(*) AS n_grams FROM d JOIN b USING (g) GROUP BY doc_id""")
 def q49_contaminated(spark, sf_dir):
-    return corpus.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", 8)
+    return corpus.contaminated(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"), "doc_id", 8)
 
 
 _TIER_SQL = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{pattern}') THEN '{tier}'" for tier, pattern in corpus.LICENCE_PATTERNS) + " ELSE 'unlicensed' END"
@@ -520,7 +528,7 @@ r AS (SELECT *, CASE WHEN {_RULE_SQL} <> 'case' THEN {_RULE_SQL} WHEN k % 2 = 1
 SELECT source, tier, reason, reason IN ('used', 'accepted') AS admitted, count(*) AS n, sum(c)::BIGINT AS chars FROM r GROUP BY ALL""")
 def q50_licence_ledger(spark, sf_dir):
     """Every other source has a decision, and every fourth is accepted."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = _texts(spark, sf_dir).select("doc_id", "source", "text")
     k = F.regexp_extract("source", "[0-9]+", 0).cast("int")
     decisions = docs.select("source").distinct().where(k % 2 == 0).select("source", (k % 4 == 0).alias("accepted"))
     return corpus.ledger(corpus.admitted(docs, decisions))
@@ -533,7 +541,7 @@ tf AS (SELECT doc_id, chunk, l, t, count(*) AS tf FROM u WHERE t IN (SELECT t FR
 s AS (SELECT item_id, doc_id, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM q JOIN tf USING (t) JOIN df USING (t), z GROUP BY ALL)
 SELECT item_id, doc_id, chunk::INTEGER AS chunk, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk) AS rank FROM s) WHERE rank <= 3""")
 def q51_bm25(spark, sf_dir):
-    passages = corpus.chunks(_table(spark, sf_dir, "documents"), "doc_id", 64)
+    passages = corpus.chunks(_texts(spark, sf_dir), "doc_id", 64)
     items = _table(spark, sf_dir, "benchmark").select("item_id", corpus.words(F.col("text")).alias("tokens"))
     return corpus.bm25(items, passages, "item_id", ["doc_id", "chunk"], 3)
 
@@ -541,7 +549,7 @@ def q51_bm25(spark, sf_dir):
 @_query()
 def q52_page_text(spark, sf_dir):
     """What a reader of each page sees."""
-    pages = _table(spark, sf_dir, "pages")
+    pages = _texts(spark, sf_dir, "pages")
     return pages.select("page_id", extract.extracted(F.col("html"), F.lit("html")).alias("text"))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -130,3 +131,30 @@ def test_matrix_memory_in_any_blocks(spark):
     want = {(r.s, r.t): r.y for r in memory.paired_reads(df.withColumn("v", F.col("v")[0]), "s").collect()}
     for chunk in (1, 8, 100):
         assert all(abs(r.y[0] - want[r.s, r.t]) < 1e-9 for r in memory.scanned_reads(df, "s", chunk).collect())
+
+
+def test_segments_in_ranges_are_the_same(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(s, i, rng.random() < 0.2) for s, n in (("a", 3000), ("b", 1), ("c", 40), (None, 5), ("d", 500)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, i int, stop boolean").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = segments.segmented_in_ranges(df, "s", ["i"], F.col("stop")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    key = lambda r: (str(r.s), r.i)
+    want = segments.segmented(df, "s", ["i"], F.col("stop")).select(*got[0].__fields__).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len({key(r) for r in got}) == len(rows)
+
+
+def test_final_state_of_a_long_document(spark):
+    n = 5000
+    df = spark.range(n).selectExpr("1 as s", "0 as doc", "id as t", "-0.01D as la", "cast(id % 7 as double) as v")
+    want = 0.0
+    for i in range(n):
+        want = want * math.exp(-0.01) + i % 7
+    for size, levels in ((4, 3), (8, 2), (64, 1)):
+        (r,) = decay.final_state(df, "s", size, levels).collect()
+        assert r.n == n and abs(r.state - want) < 1e-6
