@@ -241,7 +241,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each piece of each document: its place in a sequence. Nulls: an empty text; a null key is a key."""
+    """One row for each piece of each document: its place in a sequence.
+
+    Null texts are empty: one piece, the end token. A null key is a key; repeated rows are documents of their own; pieces of
+    one length take places by key and piece, and equal rows in any order. A long text is encoded whole and cut into pieces. An
+    empty table gives an empty result. Other columns are not read.
+    """
     return pack(pieces(docs, tokenizer, capacity, end_id, key, text), capacity, key)
 
 

@@ -201,7 +201,8 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
 
     host and path name the columns that say where a document is from; null ones are sites of their own. Null and empty
     texts are judged by their measures, all zero. Repeated rows each count. An empty table gives an empty result; without
-    usable labels no text has evidence, and a score is its path's rate. Other columns are not read. Texts are read once.
+    usable labels no text has evidence, and a score is its path's rate. A score at the threshold is kept. A text of any length
+    is measured whole. Other columns are not read. Texts are read once.
     """
     model = fit_on(docs, labels, key, text)
     narrow = docs.select(F.col(key).alias("_key"), F.col(host).alias("_h"), F.col(path).alias("_q"), F.col(text).alias("_text"))

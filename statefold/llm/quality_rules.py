@@ -106,6 +106,7 @@ def failing(rule: Rule) -> Column:
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Measures, one boolean ``fails_<rule>`` for each row of the table, base_failed and kept, in one projection.
 
+    Null texts have no words. Texts are measured whole, whatever their length; a measure at its threshold passes.
     base_failed: fewer than 50 words, or over half of them in repeated windows. kept: no rule fails. An empty table
     gives an empty result; repeated rows each get their verdict; other columns of docs are not read.
     """

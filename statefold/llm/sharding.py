@@ -69,7 +69,8 @@ def shard_plan(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str
     """One row for each row of docs: key, size, text_crc32, law ('key'), shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) plus 1. text_crc32: of the text (null: of no bytes, 0). slot: gapless
-    from 0 in each shard, by key, then CRC and size; equal rows get different slots. Null keys share the shard of key 0.
+    from 0 in each shard, by key, then CRC and size; equal rows get different slots. Null keys share the shard of key 0. A text of
+    any length is read whole, for its size and CRC.
     Other columns are not read; an empty table gives an empty result.
     """
     raw = F.coalesce(F.col(text), F.lit(""))

@@ -169,7 +169,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(key, fingerprint 16 hex digits, component_id: smallest key reachable by links, itself included).
 
     One row for each row of docs. Equal fingerprints are one vertex, so copies cost nothing; a null key has no place in
-    component_id unless its component has only null keys. Repeated rows share their component. Other columns are not read.
+    component_id unless its component has only null keys. Repeated rows share their component. A bit that is set in just half
+    of the hashes is 0. Long texts are hashed whole, some shingles at a time; an empty table gives an empty result. Other
+    columns are not read.
     """
     fps = cut(fingerprints(docs, key, text, width, seed))
     n = fps.count()
