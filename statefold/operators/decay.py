@@ -5,8 +5,8 @@ Arrow batches give the same sums; each only ever exponentiates numbers that are
 
 ``pairwise``  every row with those before it: a range self-join on (seq, doc). Quadratic in a document.
 ``folded``    one aggregate over a document's sorted array. For short documents.
-``blocked``   pairs within blocks of C rows, one partial state for each block, and the same plan over the blocks' states.
-              The default: n * C pairs a level, and a document of any length spreads over tasks by its blocks.
+``blocked``   a fold within blocks of C rows, one partial state for each block, and the same plan over the blocks' states.
+              The default: C rows are together at most, and a document of any length spreads over tasks by its blocks.
 ``grouped``   a loop over each sequence in Python, for documents that come whole anyway.
 """
 
@@ -32,16 +32,23 @@ def pairwise(df: DataFrame, seq: str) -> DataFrame:
     return _paired(df.select(seq, "doc", "t", "v", F.sum("la").over(w).alias("_p")), [seq, "doc"], "_p")
 
 
-def folded(df: DataFrame, seq: str) -> DataFrame:
-    """(seq, doc, t, y) by a fold over each document's rows in order."""
-    rows = df.groupBy(seq, "doc").agg(F.array_sort(F.collect_list(F.struct("t", "la", "v"))).alias("_r"))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<t:bigint,y:double>>").alias("out"))
+def _fold(rows: Column) -> Column:
+    """From an array of (t, la, v): p and s, the sum of la and the state after the last row, and out, (t, p, y) of each row."""
+    out = "array<struct<t:bigint,p:double,y:double>>"
+    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("s"), F.array().cast(out).alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        p, s = acc.p + r.la, F.exp(r.la) * acc.s + r.v
+        row = F.struct(r.t.cast("bigint").alias("t"), p.alias("p"), s.alias("y"))
+        return F.struct(p.alias("p"), s.alias("s"), F.concat(acc.out, F.array(row)).alias("out"))
+
+    return F.aggregate(F.array_sort(rows), start, step)
 
-    def step(acc, r):
-        s = F.exp(r.la) * acc.s + r.v
-        return F.struct(s.alias("s"), F.concat(acc.out, F.array(F.struct(r.t.cast("bigint").alias("t"), s.alias("y")))).alias("out"))
 
-    return rows.select(seq, "doc", F.explode(F.aggregate("_r", start, step, lambda acc: acc.out)).alias("_o")).select(seq, "doc", "_o.t", "_o.y")
+def folded(df: DataFrame, seq: str) -> DataFrame:
+    """(seq, doc, t, y) by a fold over each document's rows in order."""
+    rows = df.groupBy(seq, "doc").agg(F.collect_list(F.struct("t", "la", "v")).alias("_r"))
+    return rows.select(seq, "doc", F.explode(_fold(F.col("_r")).out).alias("_o")).select(seq, "doc", "_o.t", "_o.y")
 
 
 def block_states(df: DataFrame, seq: str, size: int) -> DataFrame:
@@ -64,17 +71,20 @@ def _in_blocks(df: DataFrame, seq: str, size: int) -> DataFrame:
 
 
 def blocked(df: DataFrame, seq: str, size: int = 64, levels: int = 2) -> DataFrame:
-    """(seq, doc, t, y) by blocks; with ``levels`` levels, documents of size ** levels rows cost n * size pairs a level."""
+    """(seq, doc, t, y) by blocks; with ``levels`` levels, documents of size ** levels rows are folded ``size`` rows at a time.
+
+    Rows that lie by sequence already are grouped into blocks without another shuffle.
+    """
     if levels <= 1:
         return pairwise(df, seq)
-    rows = _in_blocks(df, seq, size)
-    near = _paired(rows.select(seq, "doc", "blk", "t", "v", "_p"), [seq, "doc", "blk"], "_p")
-    states = block_states(df, seq, size).select(seq, "doc", F.col("blk").alias("t"), "la", "v")
+    block = F.floor(F.col("t") / size).cast("bigint").alias("blk")
+    held = df.select(seq, "doc", block, F.struct("t", "la", "v").alias("_r")).groupBy(seq, "doc", "blk").agg(F.collect_list("_r").alias("_r"))
+    own = held.select(seq, "doc", "blk", _fold(F.col("_r")).alias("_f"))
+    states = own.select(seq, "doc", F.col("blk").alias("t"), F.col("_f.p").alias("la"), F.col("_f.s").alias("v"))
     carried = blocked(states, seq, size, levels - 1).select(seq, "doc", (F.col("t") + 1).alias("blk"), F.col("y").alias("_in"))
     # A state comes in only for the document that was open before the block, whose rows begin the block.
-    held = rows.select(seq, "doc", "blk", "t", "_p").join(carried, [seq, "doc", "blk"], "left")
-    out = near.join(held, [seq, "doc", "blk", "t"])
-    return out.select(seq, "doc", "t", (F.col("y") + F.coalesce(F.exp("_p") * F.col("_in"), F.lit(0.0))).alias("y"))
+    out = own.join(carried, [seq, "doc", "blk"], "left").select(seq, "doc", "_in", F.explode("_f.out").alias("_o"))
+    return out.select(seq, "doc", "_o.t", (F.col("_o.y") + F.coalesce(F.exp("_o.p") * F.col("_in"), F.lit(0.0))).alias("y"))
 
 
 def grouped(df: DataFrame, seq: str) -> DataFrame:
