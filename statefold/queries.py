@@ -177,7 +177,7 @@ def q16_rolling_ll(spark, sf_dir):
     w = _words(spark, sf_dir).select("doc_id", "t", "tok")
     counts = w.groupBy("tok").agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("n"))  # one row
-    logp = counts.crossJoin(F.broadcast(total)).select("tok", F.log(F.col("c") / F.col("n")).alias("logp"))
+    logp = counts.select("tok", F.log(F.col("c") / total.scalar()).alias("logp"))
     return scoring.rolling_scores(w.join(logp, "tok"), "doc_id", 64).withColumn("logprob", _r(F.col("logprob"), 4))
 
 
@@ -413,7 +413,7 @@ def q40_bits_per_byte(spark, sf_dir):
     w = d.select("lang", F.explode(F.split("text", " ", -1)).alias("tok")).groupBy("lang", "tok").agg(F.count("*").alias("k"))
     counts = w.groupBy("tok").agg(F.sum("k").alias("c"))
     n = counts.agg(F.sum("c").alias("total"))  # one row
-    logs = w.join(counts.crossJoin(F.broadcast(n)), "tok").groupBy("lang").agg(F.sum(F.col("k") * F.log(F.col("c") / F.col("total"))).alias("logp"), F.sum("k").alias("n"))
+    logs = w.join(counts.select("tok", F.log(F.col("c") / n.scalar()).alias("lp")), "tok").groupBy("lang").agg(F.sum(F.col("k") * F.col("lp")).alias("logp"), F.sum("k").alias("n"))
     sizes = d.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
     out = scoring.bits_per_byte(logs.join(sizes, "lang"), "lang", "logp", "size")
     return _rounded(out, "bits_per_byte", "tokens_per_byte")
@@ -426,11 +426,13 @@ def q41_conv_history(spark, sf_dir):
     return h.select("user_id", *[F.element_at("history", i + 1).alias(c) for i, c in enumerate("abc")])
 
 
-@_query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS unit_1, round(e[1] / sqrt(list_dot_product(e, e) / len(e) + 1e-5) * 0.5, 6) AS rms_1, round(e[1] / (1 + exp(-e[1])), 6) AS silu_1 FROM v""")
+@_query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))), 5) AS unit,
+round(list_sum(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e) / len(e) + 1e-5) * 0.5)), 5) AS rms, round(list_sum(list_transform(e, lambda x: x / (1 + exp(-x)))), 5) AS silu FROM v""")
 def q42_norms(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    first = F.col("embedding")[0].cast("double")
-    return e.select("vec_id", _r(numeric.l2_normalised(F.col("embedding"))[0]).alias("unit_1"), _r(numeric.rms_normalised(F.col("embedding"), [0.5] * 64)[0]).alias("rms_1"), _r(numeric.silu(first)).alias("silu_1"))
+    """Each vector under three functions, its components added up."""
+    total = lambda a: _r(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 5)
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return e.select("vec_id", total(numeric.l2_normalised(F.col("e"))).alias("unit"), total(numeric.rms_normalised(F.col("e"), [0.5] * 64)).alias("rms"), total(F.transform("e", numeric.silu)).alias("silu"))
 
 
 _LINES = ("/lang kan", "/lang xyz", "/auto", "/new", "/kan namaste", "/kan", "/foo bar", "  hello there ", "/lang auto", "/eng  two  words ", "\t/lang\tkan", "\t/lang kan", "/new\tx", "/new x", "/", "\u3000/auto\u00a0", "/kan \t", "\x1c/tam \u0ba4 \x85", "//new")
@@ -494,9 +496,9 @@ def q46_reply_rates(spark, sf_dir):
     return _rounded(splits.reply_rates(c, "role", "text", "lang", "want", "looped"), "script_ok", "loop_rate", "exact")
 
 
-@_query("SELECT vec_id % 16 AS i, label::VARCHAR AS name, round(avg(embedding[1]::DOUBLE), 6) AS value FROM embeddings GROUP BY ALL")
+@_query("SELECT i::INTEGER AS i, name, round(avg(x), 6) AS value FROM (SELECT label::VARCHAR AS name, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL")
 def q47_average_weights(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("checkpoint"), F.col("label").cast("string").alias("name"), (F.col("vec_id") % 16).alias("i"), F.col("embedding")[0].cast("double").alias("value"))
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("checkpoint"), F.col("label").cast("string").alias("name"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
     return splits.average_weights(e).withColumn("value", _r(F.col("value")))
 
 

@@ -60,7 +60,7 @@ def test_one_shuffle_for_segments_and_windows(spark):
         assert _plan(Q.q05_decay_partial_merge(spark, SF)).count("Exchange") == 1
         assert "WindowGroupLimit" in _plan(Q.q10_topk_ties(spark, SF))
         for name in ("q03_decay_prefix", "q04_decay_state", "q09_masked_pairs", "q16_rolling_ll"):
-            assert "NestedLoop" not in _plan(Q.QUERIES[name](spark, SF)).replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+            assert "NestedLoop" not in _plan(Q.QUERIES[name](spark, SF))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
