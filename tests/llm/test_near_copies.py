@@ -101,3 +101,28 @@ def test_dedup_stage_against_brute_force(spark):
     want = set(slow_components([(r.doc_id, r.text) for r in docs.collect()]))
     got = [r.doc_id for r in stage(spark, docs, "").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_sketches_and_heads_never_rule_out_a_link():
+    rng = random.Random(8)
+    for n in (1, 5, 40, 300, 2000):
+        a = [rng.getrandbits(63) for _ in range(n)]
+        for changed in (0, n // 20, n // 12, n // 10):
+            b = a[: n - changed] + [rng.getrandbits(63) for _ in range(changed)]
+            x, y = (N.np.array(sorted(s), N.np.int64) for s in (a, b))
+            differ = len(set(a) ^ set(b))
+            bits = (int.from_bytes(N.sketch(x)) ^ int.from_bytes(N.sketch(y))).bit_count()
+            assert bits <= differ
+            assert N.most_shared(x.astype("<u2"), y.astype("<u2")) >= len(set(a) & set(b))
+
+
+def test_copies_around_one_text(spark):
+    """Copies that are far from each other and near to one text in their middle, more than a pivot needs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    texts = [list(base) for _ in range(90)]
+    for t in texts[1:]:
+        t[(at := rng.randrange(0, 108)) : at + 8] = [f"v{rng.randrange(10_000)}" for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == dict(zip([k for k, _ in pairs], slow_components(pairs), strict=True))
