@@ -66,7 +66,7 @@ def shared(rows: DataFrame, group: str, item: str, *order: str) -> DataFrame:
 def large_groups(rows: DataFrame, group: str, size: int) -> DataFrame:
     """(group, _parts): groups of more than ``size`` items, from rows as ``shared`` gives them; few, as items beyond it say so."""
     beyond = rows.where(F.col("place") >= size).groupBy(group).agg(F.max("place").alias("_most"))
-    return cut(beyond.select(group, (F.floor(F.col("_most") / size) + 1).cast("int").alias("_parts")))
+    return cut(beyond.select(group, (F.floor(F.col("_most") / size) + 1).cast("int").alias("_parts")), 0)
 
 
 def dealt(rows: DataFrame, group: str, size: int, large: DataFrame) -> DataFrame:

@@ -225,6 +225,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
     measured = with_evidence(safe.select(*[c.alias(n) for n, c in known.items()], F.col(name[text]).alias("_text")), model, "_text").drop("_text")
     judged = cut(_with_probability(measured, model, F.col("_a"), F.col("_b")))
     sites, rates = site_rates(judged)
-    bad = cut(with_scores(judged, sites, rates, list(known), threshold).where("not kept").select(*known).distinct())
+    bad = cut(with_scores(judged, sites, rates, list(known), threshold).where("not kept").select(*known).distinct(), judged.count())
     rows = without(safe, known, bad)
     return rows.select(*[F.col(c).alias(old) for old, c in name.items()])

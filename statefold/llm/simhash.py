@@ -194,7 +194,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", near: C
     safe, k = docs.withColumnsRenamed(name), name[key]
     known = F.xxhash64(F.coalesce(name[text], F.lit("")))
     found = near(safe.select(F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("k"), known.alias("h")).alias("id"), F.col(name[text]).alias("t")), "id", "t", **how)
-    pairs = cut(found.groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h"), (F.col("id") == F.col("component_id")).alias("_first")).agg(F.count("*").alias("_n")))
+    pairs = cut(found.groupBy(F.col("id.k").alias("_k"), F.col("id.h").alias("_h"), (F.col("id") == F.col("component_id")).alias("_first")).agg(F.count("*").alias("_n")), docs.count())
     release(docs.sparkSession)
     rows = without(safe, {"_k": F.col(k), "_h": known}, pairs.where("not _first"), pairs.where("_first and _n > 1"))
     return rows.select(*[F.col(c).alias(old) for old, c in name.items()])
