@@ -70,8 +70,8 @@ def pairs(dim, n, seed=1):
     return a, 0.93 * a + math.sqrt(1 - 0.93**2) * b
 
 
-@pytest.mark.parametrize("dim", [8, 24, 64, 256])
-@pytest.mark.parametrize("level", [0, 4, 8, 12, 16, 20, 26])
+@pytest.mark.parametrize("dim", [8, 64, 256])
+@pytest.mark.parametrize("level", [0, 8, 16, 26])
 def test_recall_at_the_threshold(dim, level):
     a, c = pairs(dim, 1000 if level < 20 else 300)
     how = E.hashing_for(level)
