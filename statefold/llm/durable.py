@@ -28,13 +28,16 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     Every partition becomes a file of the shared folder. ``rows``, a bound on the rows of a narrow result of a shuffle, joins
     neighbouring partitions without another shuffle, so that small results do not become many files: as many partitions
-    stay as give each ROWS_IN_FILE rows, and one for each core. What reads texts keeps the partitions of its scan.
+    stay as give each ROWS_IN_FILE rows, and one for each core. What reads texts keeps the partitions of its scan. Files of
+    earlier results that nothing needs any more are released.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_IN_FILE)))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(spark)
+    return out
 
 
 def release(spark: SparkSession) -> None:
