@@ -22,8 +22,15 @@ def tiny_weights(seed: int = 7) -> dict[str, np.ndarray]:
 
 def byte_ids(text, vocab: int = TINY.vocab):
     """A column of ids 2 .. vocab - 1 by the bytes of a text: a stand-in where no tokenizer is given."""
-    raw = F.transform(F.sequence(F.lit(1), F.length(F.hex(F.encode(text, "UTF-8"))), F.lit(2)), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), i, F.lit(2)), 16, 10).cast("int"))
-    return F.when(F.octet_length(text) > 0, F.transform(raw, lambda b: F.pmod(b, F.lit(vocab - 2)) + 2)).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))  # one pass: a lambda would encode the text for each byte
+    return F.when(F.octet_length(text) > 0, F.transform(pairs, lambda b: F.pmod(F.conv(b, 16, 10).cast("int"), F.lit(vocab - 2)) + 2)).otherwise(F.array().cast("array<int>"))
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows in as many tasks as the session shuffles into, or one for each core. A row costs far more to compute than to move, so the
+    number is given: without one, Spark joins partitions of few bytes again."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
 def _mapped(df: DataFrame, weights: dict[str, np.ndarray], columns: list[str], key: str, schema: str, types: list[pa.DataType], names: list[str], run, options: dict) -> DataFrame:
@@ -37,8 +44,7 @@ def _mapped(df: DataFrame, weights: dict[str, np.ndarray], columns: list[str], k
             yield pa.RecordBatch.from_arrays([b.column(key), *out], names=[key, *names])
 
     kind = df.schema[key].dataType.simpleString()
-    # A row costs far more to compute than to move: spread rows over tasks, whatever the scan gave.
-    return df.select(key, *columns).repartition(key).mapInArrow(apply, f"`{key}` {kind}, {schema}")
+    return _dealt(df.select(key, *columns), key).mapInArrow(apply, f"`{key}` {kind}, {schema}")
 
 
 def loglikelihood(requests: DataFrame, weights: dict[str, np.ndarray], key: str = "req_id", ctx: str = "ctx", cont: str = "cont", **options) -> DataFrame:
@@ -68,7 +74,7 @@ def _in_step(df: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str,
 
     kind = df.schema[key].dataType.simpleString()
     sql = "string" if out == pa.string() else "array<int>"
-    return df.select(key, ids).repartition(key).mapInArrow(apply, f"`{key}` {kind}, {name} {sql}")
+    return _dealt(df.select(key, ids), key).mapInArrow(apply, f"`{key}` {kind}, {name} {sql}")
 
 
 def generate(prompts: DataFrame, weights: dict[str, np.ndarray], key: str, ids: str, limit: int = 16, no_repeat: int = 0, penalty: float = 1.0, **options) -> DataFrame:
