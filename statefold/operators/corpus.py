@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,25 +120,109 @@ def chunks(docs: DataFrame, key: str, size: int = 64, text: str = "text") -> Dat
     return own.select(key, F.posexplode(cut).alias("chunk", "tokens"))
 
 
+_ASKED = 1_000_000  # words of queries that are looked for in one pass over the passages
+_AT_ONCE = 1 << 21  # scores of passages for queries that a task holds together
+
+
+def _met(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of a batch's passages (null: 0); passage, number of the term and count of each different term in a passage."""
+    tokens = batch.column("tokens")
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+    code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=terms), -1).to_numpy().astype(np.int64)
+    row, hit = np.repeat(np.arange(len(sizes)), sizes), code >= 0
+    pairs, tf = np.unique(row[hit] * len(terms) + code[hit], return_counts=True)
+    return sizes, pairs // len(terms), pairs % len(terms), tf
+
+
+def _frequencies(passages: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int, float]:
+    """In how many passages each term is, how many there are, and their mean length. A task sends a row a term at most."""
+    given = passages.sparkSession.sparkContext.broadcast(terms)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = given.value
+        n = np.zeros(len(terms) + 3, np.int64)  # then: passages, those with tokens, their tokens
+        for batch in batches:
+            sizes, _, code, _ = _met(batch, terms)
+            n[:-3] += np.bincount(code, minlength=len(terms))
+            n[-3:] += len(sizes), len(sizes) - batch.column("tokens").null_count, sizes.sum()
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    rows = passages.select("tokens").mapInArrow(counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(len(terms) + 3, np.int64)
+    n[[r["at"] for r in rows]] = [r["n"] for r in rows]
+    return n[:-3], int(n[-3]), n[-1] / max(n[-2], 1)
+
+
+def _best(table: pa.Table, query: str, ids: list[str], k: int) -> pa.Table:
+    """The k best rows of each query, by score and then ids."""
+    order = [("_q", "ascending"), ("score", "descending"), *[(c, "ascending") for c in ids]]
+    table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+    q = table.column("_q").to_numpy()
+    begins = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    return table.filter(pa.array(np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q)))) < k))
+
+
+def _leading(asked: DataFrame, passages: DataFrame, query: str, ids: list[str], k: int, k1: float, b: float) -> DataFrame:
+    """(query, ids, score): what each task finds best for each query of asked(query, _t)."""
+    table = asked.toArrow().combine_chunks()
+    terms = pc.unique(table.column("_t"))
+    coded = pc.dictionary_encode(table.column(query), null_encoding="encode").combine_chunks()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.chunk(0) if coded.num_chunks else pa.array([], table.schema.field(query).type).dictionary_encode()
+    names, of, term = coded.dictionary, coded.indices.to_numpy(), pc.index_in(table.column("_t"), value_set=terms).to_numpy()
+    df, n, mean = _frequencies(passages, terms)
+    idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+    order = np.argsort(term, kind="stable")
+    begin = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    given = passages.sparkSession.sparkContext.broadcast((terms, names, idf, of[order].astype(np.int64), begin))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, names, idf, askers, begin = given.value
+        held, least = None, np.zeros(len(names))  # the best so far, and the last score that is among them
+        for batch in batches if len(terms) else ():
+            sizes, row, code, tf = _met(batch, terms)
+            weight = idf[code] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / mean)))
+            step = max(1, _AT_ONCE // len(names))
+            for at in range(0, batch.num_rows, step):
+                i, j = np.searchsorted(row, (at, at + step))
+                many = np.diff(begin)[code[i:j]]
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cell = np.repeat(row[i:j] - at, many) * len(names) + askers[np.repeat(begin[code[i:j]], many) + nth]
+                score = np.bincount(cell, np.repeat(weight[i:j], many), step * len(names)).reshape(step, -1)
+                last = np.partition(score, max(step - k, 0), axis=0)[max(step - k, 0)]
+                r, q = np.nonzero((score > 0) & (score >= np.maximum(last, least) - 1e-6))
+                if len(r):
+                    own = pa.Table.from_batches([batch.select(ids)]).take(pa.array(r + at))
+                    own = own.append_column("_q", pa.array(q)).append_column("score", pa.array(np.round(score[r, q], 6)))
+                    held = _best(own if held is None else pa.concat_tables([held, own]), query, ids, k)
+                    nth, had = held.column("_q").to_numpy(), np.bincount(held.column("_q").to_numpy(), minlength=len(names))
+                    full = had[nth] >= k
+                    least[nth[full]] = held.column("score").to_numpy()[full]  # rows are in order: the last one stays
+        if held is not None:
+            out = held.append_column(query, names.take(held.column("_q").combine_chunks()))
+            yield from out.select([query, *ids, "score"]).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [asked.schema[query], *[passages.schema[c] for c in ids]])
+    return passages.select(*ids, "tokens").mapInArrow(scored, f"{kinds}, score double")
+
+
 def bm25(queries: DataFrame, passages: DataFrame, query: str, ids: list[str], k: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, ids, score, rank): the k best passages(ids, tokens) for each of queries(query, tokens), by BM25.
 
-    Only words that some query has are counted, and documents' frequencies, lengths and terms are one row a passage and word.
-    Ties go by ids. A passage without a word of the query is never returned. Scores are rounded to six digits, so that
-    order does not depend on how sums were grouped; the k best are taken before they are shuffled.
+    Passages are read twice, for the frequencies of the queries' words and for scores, and not shuffled: a task scores each of its
+    passages for all queries and sends the k best for each. Words of queries are sent to tasks, _ASKED at most for a pass; more
+    take further passes. Ties go by ids. A passage without a word of the query is never returned. Scores are rounded to
+    six digits, so that order does not depend on how sums were grouped.
     """
-    asked = queries.select(query, F.explode(F.array_distinct("tokens")).alias("_t"))
-    terms = asked.select("_t").distinct()
-    size = passages.agg(F.count("*").alias("_n"), F.avg(F.size("tokens")).alias("_mean"))  # one row
-    tf = passages.select(*ids, F.size("tokens").alias("_len"), F.explode("tokens").alias("_t")).join(terms, "_t", "left_semi").groupBy(*ids, "_len", "_t").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("_t").agg(F.count("*").alias("_df"))
-    n, mean = (size.select(c).scalar() for c in ("_n", "_mean"))
-    idf = F.log(1.0 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / mean))
-    weighed = tf.join(df, "_t").select(*ids, "_t", (idf * weight).alias("_w"))
-    scored = asked.join(weighed, "_t").groupBy(query, *ids).agg(F.round(F.sum("_w"), 6).alias("score"))
+    asked = queries.select(query, F.explode(F.array_distinct("tokens")).alias("_t")).where("_t is not null").distinct()
+    passes = max(1, -(-asked.count() // _ASKED))
+    leading = None
+    for i in range(passes):
+        part = asked.where(F.pmod(F.xxhash64(query), F.lit(passes)) == i) if passes > 1 else asked
+        found = _leading(part, passages, query, ids, k, k1, b)
+        leading = found if leading is None else leading.unionAll(found)
     best = Window.partitionBy(query).orderBy(F.desc("score"), *ids)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return leading.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def first_fit_decreasing(counts: Mapping[int, int], capacity: int) -> Iterator[tuple[int, int, int, int, int, int]]:

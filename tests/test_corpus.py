@@ -121,6 +121,30 @@ def test_bm25(spark):
     assert [(r.doc_id, r.chunk, r.score) for r in got] == [(d, c, -s) for s, d, c in want]
 
 
+def test_bm25_shuffles_no_passages(spark):
+    """One row a task, query and place is shuffled, whatever the passages; ties over batches go by ids, null ids first."""
+    rows = [(None if i == 700 else i % 500, i, ["a", "b", f"w{i}"] if i % 3 else ["b", "c", "c", f"w{i}"]) for i in range(900)]
+    passages = spark.createDataFrame(rows, "d bigint, chunk int, tokens array<string>").repartition(4)
+    queries = spark.createDataFrame([("x", ["a", "a", "w7"]), ("y", ["c"]), ("z", ["b", None]), (None, ["a"])], "q string, tokens array<string>")
+    found = C.bm25(queries, passages, "q", ["d", "chunk"], 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(q") == 1 and plan.count("Exchange hashpartitioning") == 1
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.q, []).append((r.d, r.chunk))
+    order = lambda d, c: (d is not None, d or 0, c)
+    like = lambda w: sorted(((d, c) for d, c, t in rows if w in t), key=lambda x: order(*x))
+    assert got["x"] == [(7, 7), *[p for p in like("a") if p != (7, 7)][:4]]
+    assert got[None] == like("a")[:5] and got["y"] == like("c")[:5] and len(got["z"]) == 5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        key = lambda r: (str(r.q), r["rank"], str(r.d), r.chunk, r.score)
+        assert sorted(map(key, C.bm25(queries, passages, "q", ["d", "chunk"], 5).collect())) == sorted(map(key, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert C.bm25(queries.limit(0), passages, "q", ["d", "chunk"], 5).count() == 0 == C.bm25(queries, passages.limit(0), "q", ["d", "chunk"], 5).count()
+
+
 def test_delta_rule(spark):
     import numpy as np
 
