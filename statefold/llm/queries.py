@@ -50,7 +50,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_backend.encode(_documents(spark, sf_dir))
+    return sentencepiece_backend.encode(_documents(spark, sf_dir), check=1)  # every whole text by the library too
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

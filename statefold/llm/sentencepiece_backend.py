@@ -227,13 +227,13 @@ def backend(path: str, raw: bytes) -> SpmBackend:
     return _READY[path]
 
 
-def encode(docs: DataFrame, model: str = PIECE_BPE, key: str = "doc_id", text: str = "text", threads: int = 2, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = PIECE_BPE, key: str = "doc_id", text: str = "text", threads: int = 2, with_ids: bool = False, check: int = 100) -> DataFrame:
     """One row for each row of docs: key, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), n_byte_ids (byte
     fallbacks), decoded_crc32 (of the decoded text's UTF-8), round_trip, parity, whole_checked[, ids array<int>].
 
     round_trip: the ids, decoded, give the text back, but for markers (U+2581), which decode to spaces. parity: the
     sentencepiece library gives the same ids; where texts are encoded by runs it is asked for every distinct run, and for
-    whole texts of the rows that whole_checked marks: those whose key is divisible by 100 (for other keys: its hash).
+    whole texts of the rows that whole_checked marks: those whose key is divisible by ``check`` (for other keys: its hash); 1: all rows.
     Null and empty texts have no ids; both flags are true. A null key is a key; repeated rows each get a row; an empty
     table gives an empty result; a long text is encoded whole, and its task holds its ids. Other columns are not read. The
     model file is read by the driver and sent to tasks.
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, model: str = PIECE_BPE, key: str = "doc_id", text: s
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_ids bigint, ids_crc32 bigint, n_byte_ids bigint, decoded_crc32 bigint, round_trip boolean, parity boolean, whole_checked boolean" + ", ids array<int>" * with_ids
     number = F.col(key) if docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
-    checked = F.coalesce(F.pmod(number, F.lit(100)) == 0, F.lit(False))
+    checked = F.lit(True) if check == 1 else F.coalesce(F.pmod(number, F.lit(check)) == 0, F.lit(False))
     return docs.select(key, F.col(text).alias("_text"), checked.alias("_checked")).mapInArrow(run, schema)
 
 

@@ -117,3 +117,10 @@ def test_rows_that_are_checked_whole(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in (-100, 0, 1, 99, 100, 250, 300)] + [(None, "x")], "doc_id bigint, text string")
     assert {r.doc_id for r in S.encode(docs).where("whole_checked").collect()} == {-100, 0, 100, 300}
     assert S.encode(docs.selectExpr("cast(doc_id as string) as doc_id", "text")).where("parity and round_trip").count() == 8
+
+
+def test_the_query_checks_every_whole_text(spark):
+    from statefold.llm import queries
+
+    got = queries.QUERIES["op7_sentencepiece"](spark, "/root/testdata/sf0.001")
+    assert got.where("not whole_checked").count() == 0 and got.where("parity and round_trip").count() == got.count() > 0
