@@ -126,3 +126,26 @@ def test_copies_around_one_text(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], DOCS)
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == dict(zip([k for k, _ in pairs], slow_components(pairs), strict=True))
+
+
+def test_sketches_of_long_texts_rule_pairs_out():
+    """Two long sets at a similarity of 0.7 are no candidates; near copies of other sizes are."""
+    rng = random.Random(12)
+    for n in (150, 600, 2000):
+        a = [rng.getrandbits(63) for _ in range(n)]
+        far, near = a[: -n // 5] + [rng.getrandbits(63) for _ in range(n // 5)], a[: -n // 10]
+        sets = [N.np.array(sorted(x), N.np.int64) for x in (a, far, near)]
+        got = N._fit([N.sketch(x) for x in sets], N.np.array([len(x) for x in sets]), N.np.array([0, 0, 2]), N.np.array([1, 2, 0]))
+        assert got.tolist() == [False, True, True]
+
+
+def test_simhashes_are_candidates(spark):
+    """The stage's first round takes what BK-trees over SimHashes link; texts are one class where these are equal."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(4000)]
+    texts = [base, [*base[:-1], "x"], [f"v{i}" for i in range(50)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sets = [N.shingles(" ".join(t)) for t in texts]
+    assert (N.fingerprint_of(sets[0][1]) ^ N.fingerprint_of(sets[1][1])).bit_count() <= 2
+    heads = N.cut(N._heads(docs, "doc_id", "text", 5, N.np.zeros(0, N.np.int64)))
+    assert [(r.u, r.v) for r in N._by_fingerprints(heads, 3).collect()] in ([(a, b)] for a, b in (sorted((sets[0][0], sets[1][0])),))
