@@ -5,9 +5,9 @@ From these a tokenizers pipeline is rebuilt: character map and white space of th
 unigram model with the pieces' scores or a BPE model whose merges are ranked by them, byte fallback, and a decoder.
 
 Where no piece can span two runs of text (a run: markers and then letters, or other characters and then letters; the
-pieces say whether that holds), runs are encoded apart, in multithreaded batches of those not seen before, and a bounded
-cache holds their ids; each run is checked against the sentencepiece library when it is encoded, and whole texts of a
-slice of the rows again. Other models encode whole texts and check them all. Every text's ids are decoded in batches.
+pieces say whether that holds), runs are encoded apart, those not seen before, and a bounded
+cache holds their ids. The sentencepiece library is asked for whole texts of the rows that are to be checked so, and for
+each run that is encoded for other rows. Other models encode whole texts and check them all. Every text's ids are decoded.
 """
 
 from __future__ import annotations
@@ -123,25 +123,25 @@ def rebuild(model: SpmModel) -> Tokenizer:
     tokenizer = _bare(model)
     if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
-    decode = [decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()]
+    decode = [decoders.Metaspace(MARKER, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(decode + [decoders.Strip(" ", 1, 0)] * model.add_dummy_prefix)
     return tokenizer
 
 
-def _bare(model: SpmModel) -> Tokenizer:
-    """The model without its normaliser."""
+def _bare(model: SpmModel, cached: int = 10_000) -> Tokenizer:
+    """The model without its normaliser; ``cached``: words that a BPE model keeps, the library's default."""
     if model.kind == UNIGRAM:
         return Tokenizer(models.Unigram([(p.text, p.score) for p in model.pieces], model.unk_id, model.byte_fallback))
     if model.kind == BPE:
         vocab = {p.text: i for i, p in enumerate(model.pieces)}
-        return Tokenizer(models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk_id].text, fuse_unk=True, byte_fallback=model.byte_fallback))
+        return Tokenizer(models.BPE(vocab, merges(model), cache_capacity=cached, unk_token=model.pieces[model.unk_id].text, fuse_unk=True, byte_fallback=model.byte_fallback))
     raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
 
 
 class Encoded(NamedTuple):
     ids: bytes  # little-endian unsigned 32-bit
     decoded: str
-    parity: bool  # the sentencepiece library gives the same ids, for each run and, where asked, for the whole text
+    parity: bool  # the sentencepiece library gives the same ids, where asked for the whole text, else for each run
 
 
 class SpmBackend:
@@ -150,7 +150,7 @@ class SpmBackend:
     def __init__(self, raw: bytes) -> None:
         self.model = parse(raw)
         self.whole = rebuild(self.model)
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw, out_type="numpy")
         m = self.model
         plain = [p.text for p in m.pieces if p.kind in (NORMAL, USER_DEFINED)]
         marked = any(re.search(f"[^{MARKER}]{MARKER}", p) for p in plain) or any("\n" in p and len(p) > 1 for p in plain)
@@ -158,20 +158,22 @@ class SpmBackend:
         self.by_run = m.byte_fallback and m.add_dummy_prefix and m.escape_whitespaces and not (m.charsmap or m.remove_extra_whitespaces or marked) and not any(p.kind == USER_DEFINED for p in m.pieces)
         other = f"[^{MARKER}\\n]+" if mixed else f"(?:[{_LETTERS}]+|[^{MARKER}\\n{_LETTERS}]+[{_LETTERS}]*)"
         self.pattern = re.compile(f"{MARKER}*{other}|{MARKER}+|\\n+")
-        self.bare = _bare(m)
+        self.bare = _bare(m, 0).model  # runs come once
         # A message that is appended is merged: field 3 (normaliser), in it field 3 (add_dummy_prefix) = 0.
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=raw + b"\x1a\x02\x18\x00")
         self.is_byte = np.array([p.kind == BYTE for p in m.pieces])
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}  # checked one by one
+        self.loose: dict[str, bytes] = {}  # of texts that are checked whole
         self.unlike: set[str] = set()  # runs that the sentencepiece library encodes otherwise
 
-    def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of each run; the library's are compared here, once for a run."""
-        ours = [e.ids for e in self.bare.encode_batch(runs, add_special_tokens=False)]
-        for run, a, b in zip(runs, ours, self.inner.encode([r.replace(MARKER, " ") for r in runs], num_threads=1), strict=True):
-            if a != b:
-                self.unlike.add(run)
-        return {r: array("I", a).tobytes() for r, a in zip(runs, ours, strict=True)}
+    def _encode_runs(self, runs: list[str], check: bool) -> dict[str, bytes]:
+        """Ids of each run; with ``check`` the library's are compared here, once for a run."""
+        tokens = self.bare.tokenize  # run by run: in batches, threads would cost more than the runs
+        ours = {run: array("I", [t.id for t in tokens(run)]).tobytes() for run in runs}
+        if check:
+            theirs = self.inner.encode([r.replace(MARKER, " ") for r in runs], num_threads=1)
+            self.unlike.update(r for r, b in zip(runs, theirs, strict=True) if ours[r] != array("I", b).tobytes())
+        return ours
 
     def encode(self, texts: Sequence[str], checked: Sequence[bool] | None = None) -> Iterator[Encoded]:
         """The texts' ids, in order; texts of up to _BATCH_CHARS characters together are split into runs at once. ``checked``
@@ -189,27 +191,25 @@ class SpmBackend:
     def _encode_batch(self, batch: list[tuple[str, bool]]) -> Iterator[Encoded]:
         texts = [t for t, _ in batch]
         if self.by_run:
-            found, parity = self._by_runs(texts)
             check = [c for _, c in batch]
+            found, parity = self._by_runs(texts, not all(check))
         else:
             found = [array("I", e.ids).tobytes() if t else b"" for t, e in zip(texts, self.whole.encode_batch(texts, add_special_tokens=False), strict=True)]
             parity, check = [True] * len(texts), [True] * len(texts)
-        ids = [array("I", x).tolist() for x in found]
-        for t, raw, mine, text, same, whole in zip(texts, found, ids, self.whole.decode_batch(ids, skip_special_tokens=False), parity, check, strict=True):
-            yield Encoded(raw, text, same and (not whole or not t or self.library.encode(t) == mine))
+        for t, raw, same, whole in zip(texts, found, parity, check, strict=True):
+            # Decoded one by one: threads that wait for the next batch would cost as much as they decode.
+            yield Encoded(raw, self.decode(array("I", raw).tolist()), not t or np.array_equal(self.library.encode(t), np.frombuffer(raw, "<u4")) if whole else same)
 
-    def _by_runs(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+    def _by_runs(self, texts: list[str], check: bool) -> tuple[list[bytes], list[bool]]:
+        known = self.runs if check else self.loose
         split = [self.pattern.findall(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.runs)
-        found = self._encode_runs(list(new)) if new else {}
-        if len(self.runs) + len(found) <= _CACHED_RUNS:  # a full cache keeps its runs: common ones come early
-            self.runs.update(found)
-            found = {}
-        known = self.runs
-        if found:
-            ids = [b"".join([known[r] if r in known else found[r] for r in runs]) for runs in split]
-        else:
-            ids = [b"".join(map(known.__getitem__, runs)) for runs in split]
+        new = set(chain.from_iterable(split)).difference(known)
+        found = self._encode_runs(list(new), check) if new else {}
+        known.update(found)
+        ids = [b"".join(map(known.__getitem__, runs)) for runs in split]
+        if len(known) > _CACHED_RUNS:  # a full cache keeps its runs: common ones come early
+            for run in found:
+                del known[run]
         return ids, [self.unlike.isdisjoint(runs) for runs in split] if self.unlike else [True] * len(texts)
 
     def decode(self, ids: list[int]) -> str:
@@ -232,8 +232,8 @@ def encode(docs: DataFrame, model: str = PIECE_BPE, key: str = "doc_id", text: s
     fallbacks), decoded_crc32 (of the decoded text's UTF-8), round_trip, parity, whole_checked[, ids array<int>].
 
     round_trip: the ids, decoded, give the text back, but for markers (U+2581), which decode to spaces. parity: the
-    sentencepiece library gives the same ids; where texts are encoded by runs it is asked for every distinct run, and for
-    whole texts of the rows that whole_checked marks: those whose key is divisible by ``check`` (for other keys: its hash); 1: all rows.
+    sentencepiece library gives the same ids: it is asked for the whole texts of the rows that whole_checked marks, and where
+    texts are encoded by runs for every distinct run of the others. whole_checked: rows whose key is divisible by ``check`` (for other keys: its hash); 1: all rows.
     Null and empty texts have no ids; both flags are true. A null key is a key; repeated rows each get a row; an empty
     table gives an empty result; a long text is encoded whole, and its task holds its ids. Other columns are not read. The
     model file is read by the driver and sent to tasks.

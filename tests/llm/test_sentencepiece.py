@@ -124,3 +124,22 @@ def test_the_query_checks_every_whole_text(spark):
 
     got = queries.QUERIES["op7_sentencepiece"](spark, "/root/testdata/sf0.001")
     assert got.where("not whole_checked").count() == 0 and got.where("parity and round_trip").count() == got.count() > 0
+
+
+def test_what_is_checked_whole_is_not_checked_by_runs_too(monkeypatch):
+    """The library is asked once: for whole texts, or for the runs of texts that are not checked so."""
+    with open(S.PIECE_BPE, "rb") as f:
+        fresh = S.SpmBackend(f.read())
+    asked, library = [], fresh.inner
+
+    class Counting:
+        def encode(self, runs, **how):
+            asked.extend(runs)
+            return library.encode(runs, **how)
+
+    monkeypatch.setattr(fresh, "inner", Counting())
+    want = list(fresh.encode(TEXTS, [True] * len(TEXTS)))
+    assert not asked and all(e.parity for e in want)
+    assert list(fresh.encode(TEXTS)) == want and len(asked) == len(set(asked)) > 0  # runs met unchecked are checked now
+    before = len(asked)
+    assert list(fresh.encode(TEXTS, [i % 2 == 0 for i in range(len(TEXTS))])) == want and len(asked) == before
