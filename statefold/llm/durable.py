@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_IN_FILE = 500_000  # narrow rows that one task of a checkpoint writes, at least where it has them
+BATCH = 4 << 20  # bytes of rows that Python gets at once, and one row more
+SCANNED = 256  # rows that Parquet's reader holds at once
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -23,19 +27,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within reads Parquet by SCANNED rows and gives Python about BATCH bytes at once; lower limits of the session stay.
+
+    Spark's own are 4,096 rows, of which each task has all texts on the heap, in arrays that it doubles, and 64 MB, of which the
+    JVM and the worker of each task hold several copies beside the heap. With long texts executors run out of either.
+    """
+    now = spark._jsparkSession.sessionState().conf()
+    limits = {"spark.sql.parquet.columnarReaderBatchSize": (now.parquetVectorizedReaderBatchSize(), SCANNED), "spark.sql.execution.arrow.maxBytesPerBatch": (now.arrowMaxBytesPerBatch(), BATCH)}
+    lower = {k: most for k, (has, most) in limits.items() if has > most}
+    before = {k: spark.conf.get(k, None) for k in lower}
+    try:
+        for k, most in lower.items():
+            spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, own in before.items():
+            spark.conf.unset(k) if own is None else spark.conf.set(k, own)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise df reliably, so that a lost executor costs a re-read and not a recomputation.
 
     Every partition becomes a file of the shared folder. ``rows``, a bound on the rows of a narrow result of a shuffle, joins
     neighbouring partitions without another shuffle, so that small results do not become many files: as many partitions
-    stay as give each ROWS_IN_FILE rows, and one for each core. What reads texts keeps the partitions of its scan. Files of
-    earlier results that nothing needs any more are released.
+    stay as give each ROWS_IN_FILE rows, and one for each core. What reads texts keeps the partitions of its scan, and takes
+    them in small batches. Files of earlier results that nothing needs any more are released.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_IN_FILE)))
-    out = df.checkpoint(eager=True)
+    with small_batches(spark):
+        out = df.checkpoint(eager=True)
     release(spark)
     return out
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import cut
+from .durable import cut, small_batches
 from .quality_rules import STOP_WORDS
 from .rows import without
 
@@ -115,7 +115,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = picked.select(key, "_y", "_text").mapInArrow(measure, f"`{key}` {kind}, _y int, _x array<double>")
-    got = rows.groupBy(key).agg(F.min(F.struct("_x", "_y")).alias("r")).orderBy(key).select("r.*").collect()
+    with small_batches(docs.sparkSession):
+        got = rows.groupBy(key).agg(F.min(F.struct("_x", "_y")).alias("r")).orderBy(key).select("r.*").collect()
     x = np.array([r["_x"] for r in got], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_y"] for r in got], float))
 
