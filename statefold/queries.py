@@ -387,7 +387,7 @@ def q37_tiny_lm_score(spark, sf_dir):
     """Each assistant turn given the turn before it, whole texts as bytes, by the small model."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lag("text").over(w).alias("before"))
-    asked = c.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("req"), lm.byte_ids(F.coalesce("before", F.lit(""))).alias("ctx"), lm.byte_ids(F.col("text")).alias("cont"))
+    asked = c.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("req"), F.encode(F.coalesce("before", F.lit("")), "UTF-8").alias("ctx"), F.encode("text", "UTF-8").alias("cont"))
     scored = lm.loglikelihood(asked, lm.tiny_weights(), "req", chunk=64, context=1 << 20)
     return scored.select("req.conv_id", "req.turn", _r(F.col("logprob"), 4).alias("logprob"), "greedy")
 
