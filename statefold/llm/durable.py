@@ -27,9 +27,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """What runs within reads Parquet by SCANNED rows and gives Python about BATCH bytes at once; lower limits of the session stay.
+def lower_batches(spark: SparkSession) -> dict[str, str | None]:
+    """Have the session read Parquet by SCANNED rows and give Python about BATCH bytes at once, where it has higher limits; what it had set
+    for those.
 
     Spark's own are 4,096 rows, of which each task has all texts on the heap, in arrays that it doubles, and 64 MB, of which the
     JVM and the worker of each task hold several copies beside the heap. With long texts executors run out of either.
@@ -38,9 +38,16 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     limits = {"spark.sql.parquet.columnarReaderBatchSize": (now.parquetVectorizedReaderBatchSize(), SCANNED), "spark.sql.execution.arrow.maxBytesPerBatch": (now.arrowMaxBytesPerBatch(), BATCH)}
     lower = {k: most for k, (has, most) in limits.items() if has > most}
     before = {k: spark.conf.get(k, None) for k in lower}
+    for k, most in lower.items():
+        spark.conf.set(k, str(most))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within has batches as ``lower_batches`` sets them."""
+    before = lower_batches(spark)
     try:
-        for k, most in lower.items():
-            spark.conf.set(k, str(most))
         yield
     finally:
         for k, own in before.items():
